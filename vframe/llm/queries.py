@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vframe.llm import chat, mixing, packing, token_store
+from vframe.llm import chat, mixing, neardup, packing, token_store
 from vframe.llm.common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, size="words", key="key").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2).drop("source")
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op4_token_store": op4_token_store,
         "op5_mix_sources": op5_mix_sources,
+        "op6_minhash_dedup": op6_minhash_dedup,
         "op8_pack": op8_pack,
     }
 
