@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vframe.llm import chat, langid, mixing, neardup, packing, token_store
+from vframe.llm import ann, chat, embdedup, langid, mixing, neardup, packing, token_store
 from vframe.llm.common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_chat(chat.format_chat(turns.unionByName(extra.select("x.*")))))
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark).path("tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE, end_id=1)
@@ -50,14 +54,20 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2).drop("source")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.find_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_chat_format": op2_chat_format,
+        "op3_cross_polytope": op3_cross_polytope,
         "op4_token_store": op4_token_store,
         "op5_mix_sources": op5_mix_sources,
         "op6_minhash_dedup": op6_minhash_dedup,
         "op8_pack": op8_pack,
+        "op9_embedding_dedup": op9_embedding_dedup,
     }
 
 
