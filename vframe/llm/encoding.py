@@ -15,7 +15,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries kept by a worker; all are dropped when there are more.
-MAX_WORDS = 900_000
+MAX_WORDS = 700_000
 #: Longer chunks are encoded but not kept.
 MAX_WORD_BYTES = 64
 #: Text held as words at a time.
@@ -30,6 +30,11 @@ _PROBES = (
 )
 
 
+def _cut(word: bytes) -> tuple[bytes, bytes]:
+    letters = word.rstrip(b".,;:!?|")
+    return letters, word[len(letters) :]
+
+
 class Encoder:
     """Encodes texts, given as UTF-8 bytes, to little-endian unsigned 32-bit ids."""
 
@@ -37,6 +42,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
         self.by_word = all(self._whole([p.encode()])[0] == b"".join(self._whole(p.encode().split())) for p in _PROBES)
+        ends = [b"abc,", "été.".encode(), b"x.,;:!?", b"on|"]
+        self.splits = self.by_word and all(self._whole([w])[0] == b"".join(self._whole(list(_cut(w)))) for w in ends)
         self.folds = self.by_word and all(self._whole([p.encode()]) == self._whole([p.encode().lower()]) for p in _PROBES)
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
@@ -55,7 +62,11 @@ class Encoder:
         if len(kept) + len(missing) > MAX_WORDS:
             kept.clear()
             missing = set(itertools.chain.from_iterable(docs))
-        once = []
+        once, cut = [], []
+        if self.splits:  # letters before punctuation are encoded apart, once for all that may follow
+            cut = [(w, *x) for w in missing if (x := _cut(w))[1] and x[0].decode("utf-8", "replace").isalpha()]
+            missing.difference_update(w for w, _, _ in cut)
+            missing.update(x for _, *both in cut for x in both if x not in kept)
         fresh = list(missing)
         for i in range(0, len(fresh), 4096):
             group = fresh[i : i + 4096]
@@ -63,10 +74,14 @@ class Encoder:
                 kept[word] = ids
                 if len(word) > MAX_WORD_BYTES:
                     once.append(word)
+        for word, letters, rest in cut:
+            kept[word] = kept[letters] + kept[rest]
+            if len(word) > MAX_WORD_BYTES:
+                once.append(word)
         for words in docs:
             yield b"".join(map(kept.__getitem__, words))
         for word in once:
-            del kept[word]
+            kept.pop(word, None)
 
     def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
         """Ids of each text in turn; a null text is an empty one."""
