@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vframe.llm import ann, chat, embdedup, langid, mixing, neardup, packing, token_store
+from vframe.llm import ann, chat, embdedup, langid, mixing, neardup, packing, pii, token_store
 from vframe.llm.common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -58,6 +58,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.find_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="corpus-2024")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash_dedup": op6_minhash_dedup,
         "op8_pack": op8_pack,
         "op9_embedding_dedup": op9_embedding_dedup,
+        "op10_pii_pseudonyms": op10_pii_pseudonyms,
     }
 
 
