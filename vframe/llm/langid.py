@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bound of the labelled rows that are fitted on, and of the landmarks among them.
@@ -159,9 +159,9 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
     return fit([r["text"] for r in kept], [r["lang"] for r in kept], landmarks)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model):
+    """A column function of a text: struct of lang_pred and score."""
+    held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -169,5 +169,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = predict(held.value, [t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    return lambda text: score(text.cast("string"))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with lang_pred and score."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, score(F.col("text").cast("string")).alias("_found")).select(*kept, "_found.lang_pred", "_found.score")
+    found = scorer(docs.sparkSession, model)(F.col("text")).alias("_found")
+    return docs.select(*kept, found).select(*kept, "_found.lang_pred", "_found.score")
+
+
+def keep_known(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
+    """The documents whose language is known with a score of ``least`` or more.
+
+    Where no language was learned, those with a letter.
+    """
+    if not model.langs:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = docs.withColumn("_found", scorer(docs.sparkSession, model)(F.col("text")))
+    return found.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).drop("_found")

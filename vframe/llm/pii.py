@@ -227,21 +227,33 @@ def _item(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
-    """``docs`` with the personal data of ``text`` replaced, and n_email ... n_date."""
-    own = ["text", *(f"n_{k}" for k in KINDS)]
-    kept = [c for c in docs.columns if c not in own]
-    text = F.col("text")
+def _scanned(docs: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """``docs`` with _found and _items, what was found and stands for it, and the new text."""
+    text = F.col("text").cast("string")
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    rows = docs.select(*kept, text.cast("string").alias("text")).withColumn("_found", found)
+    rows = docs.withColumn("_found", found)
     rows = rows.withColumn("_items", F.when(F.size("_found") > 0, F.transform("_found", lambda m: _item(m, key))))
-    between = F.split("text", CANDIDATE, -1)
+    between = F.split(text, CANDIDATE, -1)
     new = F.array_join(F.zip_with(between, F.concat(F.transform("_items", lambda x: x["text"]), F.array(F.lit(""))), lambda s, x: F.concat(s, x)), "")
+    return rows, F.when(F.col("_items").isNull(), text).otherwise(new).alias("text")
+
+
+def redact(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the personal data of ``text`` replaced, and n_chars, if there, brought up to date."""
+    rows, text = _scanned(docs, key)
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the personal data of ``text`` replaced, and n_email ... n_date."""
+    own = [f"n_{k}" for k in KINDS]
+    rows, text = _scanned(docs, key)
 
     def count(kind: str) -> Column:
         n = F.size(F.filter("_items", lambda x: F.coalesce(x["kind"] == kind, F.lit(False))))
-        return F.when(F.col("_items").isNull(), F.lit(0)).otherwise(n).cast("bigint")
+        return F.when(F.col("_items").isNull(), F.lit(0)).otherwise(n).cast("bigint").alias(f"n_{kind}")
 
-    counts = [count(k) for k in KINDS]
-    out = rows.select(*kept, F.when(F.col("_items").isNull(), F.col("text")).otherwise(new).alias("text"), *(c.alias(f"n_{k}") for c, k in zip(counts, KINDS, strict=True)))
-    return out.select(*docs.columns, *(c for c in own if c not in docs.columns))
+    return rows.select(*(text if c == "text" else c for c in docs.columns if c not in own), *map(count, KINDS))

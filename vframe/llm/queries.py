@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vframe.llm import ann, chat, embdedup, langid, mixing, neardup, packing, pii, token_store
+from vframe.llm import ann, chat, embdedup, langid, mixing, neardup, packing, pii, secret_scan, token_store
 from vframe.llm.common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,11 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.digest(secret_scan.find_secrets(docs, secret_scan.train(docs)))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2).drop("source")
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_store": op4_token_store,
         "op5_mix_sources": op5_mix_sources,
         "op6_minhash_dedup": op6_minhash_dedup,
+        "op7_secret_scan": op7_secret_scan,
         "op8_pack": op8_pack,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_pii_pseudonyms": op10_pii_pseudonyms,

@@ -33,13 +33,14 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 _SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
-_VALUE = stream(1, 256)
-_VALUE[65:91] = _VALUE[97:123]
+BYTE_VALUES = stream(1, 256)
+BYTE_VALUES[65:91] = BYTE_VALUES[97:123]
 _PLACE = stream(2, 64) | np.uint64(1)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
     if len(_POWERS[0]) < n:
         size = max(n, SLICE_BYTES * 2)
         for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
@@ -53,9 +54,9 @@ def word_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each word's hash and the byte where it starts."""
     edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buffer], [True]))))
     starts, ends = edge[0::2], edge[1::2]
-    power, inverse = _powers(len(buffer))
+    power, inverse = powers(len(buffer))
     total = np.zeros(len(buffer) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[buffer] * power[: len(buffer)], out=total[1:])
+    np.cumsum(BYTE_VALUES[buffer] * power[: len(buffer)], out=total[1:])
     raw = (total[ends] - total[starts]) * inverse[starts]
     return mix(raw + (ends - starts).astype(np.uint64)), starts
 
