@@ -63,4 +63,4 @@ def fail(error: type[VframeError], *message: Column | str) -> Column:
 
 def raised(stored: object, error: type[VframeError], *message: Column | str) -> Column:
     """The same, as an expression of a type."""
-    return F.when(fail(error, *message).cast("string").isNull(), F.lit(None)).cast(stored)
+    return fail(error, *message).cast(stored)

@@ -196,7 +196,7 @@ def decode(v: Column, tp: Any, validate: bool = True) -> Column:
     """A typed column from a VARIANT; a JSON null gives null for any type."""
     from vframe.operators.policy import validated
 
-    tp = unwrap(tp)
+    noted, tp = tp, unwrap(tp)
     if tp == Aware:
         return _get(v, "string").cast("timestamp")
     if own := converter_for(tp):
@@ -209,7 +209,7 @@ def decode(v: Column, tp: Any, validate: bool = True) -> Column:
             return decode(v, inner[0], validate)
         return union(v, tp)
     if allowed(tp):
-        return validated(_get(v, spark_type(tp).simpleString()), tp, validate)
+        return validated(_get(v, spark_type(tp).simpleString()), noted, validate)
     origin, args = typing.get_origin(tp), typing.get_args(tp)
     if origin in (list, tuple, set, frozenset):
         elements = F.transform(_get(v, "array<variant>"), lambda x: decode(x, args[0], validate))
@@ -240,7 +240,7 @@ def decode(v: Column, tp: Any, validate: bool = True) -> Column:
 
 def decode_array(v: Column, tp: NdArray) -> Column:
     """Of an object of dtype, shape and data, or of a plain list."""
-    element = spark_type(tp)["data"].dataType.simpleString()
+    element = spark_type(tp)["data"].dataType.elementType.simpleString()
     plain = F.try_variant_get(v, "$", f"array<{element}>")
     data = F.coalesce(plain, F.try_variant_get(v, "$.data", f"array<{element}>"))
     shape = F.coalesce(F.try_variant_get(v, "$.shape", "array<int>"), F.array(F.size(plain)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vframe.errors import ConverterError, UnknownFieldError, fail
-from vframe.functions.types import allowed, unwrap
+from vframe.functions.types import allowed, spark_type, unwrap
 
 _FALLBACKS: dict[Any, Any] = {}
 
@@ -45,7 +45,7 @@ def validated(c: Column, tp: Any, validate: bool = True) -> Column:
     if own is not None:
         return with_fallback(c, values, own.value)
     bad = fail(ConverterError, c, " is not one of ", ", ".join(map(str, values)))
-    return F.when(c.isNull() | c.isin(values), c).when(bad.cast("string").isNull(), c)
+    return F.when(c.isNull() | c.isin(values), c).otherwise(bad.cast(spark_type(tp)))
 
 
 def unknown_names(names: Column, known: list[str]) -> Column:

@@ -40,20 +40,27 @@ def either(a: Presence, b: Presence) -> Presence:
     return b if a is False else a if b is False else a | b
 
 
-def choose(present: Presence, cell: Cell, other: Cell | None) -> Cell:
-    """``cell`` where ``present``, else ``other``."""
+def choose(present: Presence, cell: Cell, other: Cell | None, tp: Any = None) -> Cell:
+    """``cell`` where ``present``, else ``other``; a VARIANT that meets a typed value is decoded as ``tp``."""
     if present is True or other is None and present is False:
         return cell
     if present is False:
         return other  # type: ignore[return-value]
     if other is None:
         return Cell(F.when(present, cell.value), present, cell.stored)
-    value, rest, stored = cell.value, other.value, cell.stored
-    if cell.is_variant and not other.is_variant:
-        if other.stored is None:
-            raise MigrationError("a typed and an untyped value meet; state the type with as_type")
-        value, stored = F.variant_get(value, "$", other.stored.simpleString()), other.stored
-    return Cell(F.when(present, value).otherwise(rest), either(present, other.present), stored)
+    if cell.is_variant != other.is_variant:
+        cell, other = (_decoded(c, o.stored, tp) if c.is_variant else c for c, o in ((cell, other), (other, cell)))
+    return Cell(F.when(present, cell.value).otherwise(other.value), either(present, other.present), cell.stored or other.stored)
+
+
+def _decoded(cell: Cell, stored: T.DataType | None, tp: Any) -> Cell:
+    from vframe.functions.codecs import decode
+
+    if tp is not None:
+        return Cell(decode(cell.value, tp), cell.present, stored)
+    if stored is None:
+        raise MigrationError("a typed and an untyped value meet; state the type with as_type")
+    return Cell(F.variant_get(cell.value, "$", stored.simpleString()), cell.present, stored)
 
 
 class Frame:
@@ -100,7 +107,7 @@ class Rename:
             return
         before = f.get(self.new)
         f.removed.discard(self.new)
-        f.set(self.new, choose(cell.present, cell, before))
+        f.set(self.new, choose(cell.present, cell, before, f.types.get(self.new)))
 
 
 @dataclass(frozen=True)
@@ -121,7 +128,7 @@ class Add:
         if cell is None or cell.present is False:
             f.set(self.field, made)
         else:
-            f.set(self.field, choose(cell.present, cell, made))
+            f.set(self.field, choose(cell.present, cell, made, tp))
 
 
 def _natural(value: Any) -> T.DataType | None:
@@ -162,7 +169,7 @@ class Derive:
             made = Cell(self.via(f.typed(cell, self.from_, self.as_type)), cell.present)
             before = f.get(self.field)
             f.removed.discard(self.field)
-            f.set(self.field, choose(cell.present, made, before))
+            f.set(self.field, choose(cell.present, made, before, f.types.get(self.field)))
 
 
 @dataclass(frozen=True)
@@ -179,7 +186,7 @@ class Split:
         for name, via in self.into.items():
             before = f.get(name)
             f.removed.discard(name)
-            f.set(name, choose(cell.present, Cell(via(value), cell.present), before))
+            f.set(name, choose(cell.present, Cell(via(value), cell.present), before, f.types.get(name)))
 
 
 @dataclass(frozen=True)
@@ -208,7 +215,7 @@ class Merge:
             for i, yes in there.items():
                 p = values[i][1] if yes else ~values[i][1]  # type: ignore[operator]
                 when = p if when is True else when & p
-            out = choose(when, Cell(self.via(*args), when), out)
+            out = choose(when, Cell(self.via(*args), when), out, f.types.get(self.into))
         f.removed.discard(self.into)
         if out is not None:
             f.set(self.into, out)

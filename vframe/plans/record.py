@@ -232,7 +232,7 @@ class RecordType:
             values = {v: b[i].cast(stored) if not isinstance(stored, T.VariantType) else b[i] for v, b in branches.items()}
             newer = fail(VersionError, f"{self.record_name}: version ", at, f" is newer than {self.version}")
             older = fail(MigrationError, f"{self.record_name}: no migration from version ", at, " or it asks for an upgrade")
-            bad = F.when(F.when(at > self.version, newer).otherwise(older).cast("string").isNull(), F.lit(None)).cast(stored)
+            bad = F.when(at > self.version, newer.cast(stored)).otherwise(older.cast(stored))
             case = None
             for v, c in values.items():
                 case = F.when(at == v, c) if case is None else case.when(at == v, c)

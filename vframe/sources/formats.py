@@ -60,7 +60,7 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parsed(parse: Callable[[str], list[str]]) -> Callable[[SparkSession, str], DataFrame]:
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def documents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield b.map(parse)
@@ -90,7 +90,7 @@ def _write_json(docs: DataFrame, path: str, mode: str, defaults: dict, key: str)
 
 def _writer(emit: Callable[[dict, dict, str], str], between: str) -> Callable[[DataFrame, str, str, dict, str], None]:
     def write(docs: DataFrame, path: str, mode: str, defaults: dict, key: str) -> None:
-        @F.pandas_udf("string")
+        @F.pandas_udf(T.StringType())
         def rendered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for b in batches:
                 yield b.map(lambda x: between + "\n" + emit(json.loads(x), defaults, key))

@@ -178,7 +178,7 @@ class Session:
         """More elements of an array: a list, or a frame of doc_id and vals."""
         self._open()
         tp = self.record.fields[field]
-        element = spark_type(tp)["data"].dataType
+        element = spark_type(tp)["data"].dataType.elementType
         dtype = tp.dtype
         more = values if isinstance(values, DataFrame) else self.spark.createDataFrame([(doc_id, list(values))], "doc_id bigint, vals array<double>")
         more = more.select("doc_id", F.col("vals").cast(f"array<{element.simpleString()}>").alias("vals"))
