@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vframe.llm import ann, chat, embdedup, langid, mixing, neardup, packing, pii, secret_scan, token_store
+from vframe.llm import ann, chat, embdedup, langid, mixing, neardup, oracles, packing, pii, secret_scan, token_store
 from vframe.llm.common import Scratch, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": oracles.CHAT, "op6_minhash_dedup": oracles.NEAR_DUPLICATES, "op9_embedding_dedup": oracles.EMBEDDINGS}
