@@ -30,20 +30,21 @@ UUID_PATTERN = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-
 
 @dataclass(frozen=True)
 class Converter:
-    """Column functions of a type of the user's own; ``stored`` is its Spark type."""
+    """Column functions of a type of the user's own; ``stored`` is its Spark type, ``wire`` that of its wire form."""
 
     stored: T.DataType
     encode: Callable[[Column], Column]
     decode: Callable[[Column], Column]
     subclasses: bool = False
+    wire: str | None = None
 
 
 _CONVERTERS: dict[type, Converter] = {}
 
 
-def register_converter(tp: type, stored: T.DataType, encode: Callable[[Column], Column], decode: Callable[[Column], Column], *, subclasses: bool = False) -> None:
+def register_converter(tp: type, stored: T.DataType, encode: Callable[[Column], Column], decode: Callable[[Column], Column], *, subclasses: bool = False, wire: str | None = None) -> None:
     """Registers a type; an exact match goes before a base class, base classes in order."""
-    _CONVERTERS[tp] = Converter(stored, encode, decode, subclasses)
+    _CONVERTERS[tp] = Converter(stored, encode, decode, subclasses, wire)
 
 
 def converter_for(tp: Any) -> Converter | None:
@@ -200,7 +201,7 @@ def decode(v: Column, tp: Any, validate: bool = True) -> Column:
     if tp == Aware:
         return _get(v, "string").cast("timestamp")
     if own := converter_for(tp):
-        return own.decode(_get(v, own.stored.simpleString()))
+        return own.decode(_get(v, own.wire or own.stored.simpleString()))
     if hasattr(tp, "record_name"):
         return tp.decode_variant(v)
     if is_union(tp):

@@ -186,12 +186,15 @@ class RecordType:
         layouts: dict[int, list[str]] | None = None,
         assume: int | None = None,
         upgrade: bool = False,
+        sparse: bool = False,
         keep: tuple[str, ...] = (),
     ) -> DataFrame:
         """Rows of typed columns brought to this version, in one projection.
 
         ``version`` is a column or a number; ``layouts`` names the columns
-        that rows of a version really have, by default all of ``df``.
+        that rows of a version really have, by default all of ``df``. In a
+        ``sparse`` frame, where files of several versions were merged, older
+        rows have the columns that are not null.
         Versions later than this one are an error when a row has one.
         """
         columns = {f.name: f.dataType for f in df.schema.fields if f.name != version and f.name not in keep}
@@ -199,7 +202,9 @@ class RecordType:
         def frame(v: int) -> list[Column]:
             self._gate(v, upgrade)
             have = (layouts or {}).get(v, list(columns))
-            f = Frame({n: Cell(F.col(f"`{n}`"), True, columns[n]) for n in have}, types=self.fields)
+            if sparse and v == self.version:
+                have = [n for n in have if n in self.fields]
+            f = Frame({n: Cell(c := F.col(f"`{n}`"), c.isNotNull() if sparse and v < self.version else True, columns[n]) for n in have}, types=self.fields)
             run(self.steps(v), f)
             if self.unknown == "error" and (extra := set(f.cells) - set(self.fields)):
                 raise UnknownFieldError(f"{self.record_name} has unknown fields {', '.join(sorted(extra))}")

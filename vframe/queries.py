@@ -11,7 +11,7 @@ import enum
 from collections.abc import Callable
 from typing import Any, Literal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -449,6 +449,33 @@ def union_decode(spark, d):
     return _t(spark, d, "events").select("event_id", codecs.union_text(F.parse_json(doc), "bigint", "string").alias("u")).select("event_id", "u.*")
 
 
+class Cents:
+    """A type of the user's own: an amount in whole cents."""
+
+
+codecs.register_converter(Cents, T.LongType(), lambda c: F.format_string("%d.%02d", F.floor(c / 100).cast("bigint"), F.pmod(c, F.lit(100))), lambda v: F.round(v.cast("double") * 100).cast("bigint"), wire="string")
+
+
+@query("SELECT p_partkey, cast(round(p_retailprice * 100) AS bigint) AS price FROM part")
+def converter_custom(spark, d):
+    r = _record(1, {"p_partkey": int, "price": Cents}, name="Priced")
+    path = folder(spark, "cents")
+    rows = _t(spark, d, "part").select("p_partkey", F.round(F.col("p_retailprice") * 100).cast("bigint").alias("price"))
+    formats.save(rows, r, path, format="json")
+    return formats.load(spark, r, path, format="json")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'new' END AS status, o_totalprice AS price FROM orders")
+def parquet_mixed_versions(spark, d):
+    """A store with files of two versions, read at the later one."""
+    path, o = folder(spark, "mixed"), _t(spark, d, "orders")
+    old = _record(1, {"key": int, "price": float}, name="Stored")
+    new = _record(2, {"id": int, "status": str, "price": float}, {1: Migration().rename("key", "id").add("status", default="new")}, name="Stored")
+    formats.save(o.filter("o_orderkey % 2 = 1").selectExpr("o_orderkey AS key", "o_totalprice AS price"), old, path, format="parquet")
+    formats.save(o.filter("o_orderkey % 2 = 0").selectExpr("o_orderkey AS id", "o_orderstatus AS status", "o_totalprice AS price"), new, path, format="parquet", mode="append")
+    return formats.load(spark, new, path, format="parquet")
+
+
 # policies
 
 
@@ -469,8 +496,7 @@ class Status(enum.Enum):
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'F') THEN o_orderstatus ELSE 'O' END AS o_orderstatus FROM orders")
 def enum_fallback(spark, d):
-    values = ["O", "F"]
-    return _t(spark, d, "orders").select("o_orderkey", policy.with_fallback(F.col("o_orderstatus"), values, "O").alias("o_orderstatus"))
+    return _record(1, {"o_orderkey": int, "o_orderstatus": Status}).migrate(_t(spark, d, "orders"), 1)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'extra' ELSE '' END AS unknown FROM events")
@@ -544,5 +570,3 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
-
-__all__ = ["Column", "oracle_sql", "queries"]

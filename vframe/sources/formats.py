@@ -103,7 +103,7 @@ def _writer(emit: Callable[[dict, dict, str], str], between: str) -> Callable[[D
 register_format(["json", "jsonl"], Format("json", _read_json, _write_json))
 register_format(["yaml", "yml"], Format("yaml", _parsed(text.from_yaml), _writer(text.to_yaml, "---")))
 register_format(["toml"], Format("toml", _parsed(text.from_toml), _writer(text.to_toml, text.TOML_BREAK)))
-register_format(["parquet"], Format("parquet", lambda spark, path: spark.read.parquet(path)))
+register_format(["parquet"], Format("parquet", lambda spark, path: spark.read.option("mergeSchema", "true").parquet(path)))
 
 
 # compression of the native store
@@ -178,7 +178,8 @@ def load(
             if strict:
                 df = df.filter(F.col("_env.object").isin(record.record_name, *record.old_names))
             df = df.drop("_env")
-        out = record.migrate(df, "_v" if "_v" in df.columns else None, assume=assume, upgrade=upgrade)
+        mixed = "_v" in df.columns
+        out = record.migrate(df, "_v" if mixed else None, assume=assume, upgrade=upgrade, sparse=mixed)
     else:
         docs = fmt.read(spark, path)
         if strict:
@@ -268,4 +269,4 @@ def rewrite(spark: SparkSession, record: RecordType, source: str, target: str, *
     save(load(spark, record, source, upgrade=True), record, target, **options)
 
 
-__all__ = ["Compression", "Format", "T", "format_for", "load", "load_dynamic", "register_format", "rewrite", "save"]
+__all__ = ["Compression", "Format", "format_for", "load", "load_dynamic", "register_format", "rewrite", "save"]
