@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 
 from vframe.llm.common import Scratch, parts
 
+#: Rows, of about 200 bytes, that a table about sources may have to be broadcast.
+BROADCAST_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
-OWN = ("size", "source_size", "target", "copies", "taken", "shards", "_key", "_part", "_before")
+OWN = ("size", "source_size", "target", "copies", "taken", "shards", "_key", "_part", "_before", "_s", "_p", "_offset", "_whole", "_rest", "_blocks", "_ends", "_at", "_m", "_miss", "_w", "_swap", "_draws")
 
 
 def word_count(text: Column) -> Column:
@@ -122,8 +124,9 @@ def mix(
     hash that tells documents apart; without them, both come from the text.
 
     A document is taken whole, so a source's words miss its target by half its
-    document at the boundary at most. Through the driver go one row for each
-    source and for each source in a shuffle partition; both are bounded by the
+    document at the boundary at most; the document whose size comes nearest to
+    the miss then changes sides. Through the driver go one row for each source
+    and for each source in a shuffle partition; both are bounded by the
     mixture's sources and the partitions, not by the documents.
     """
     spark = docs.sparkSession
@@ -151,15 +154,33 @@ def mix(
         quotas.append(whole * blocks + (int(rest // block_words) + 1 if rest > 0 else 0))
         plan.append((s, n, goal[s], whole, float(rest), blocks))
     dealt = np.cumsum(deal(np.array(quotas, dtype=np.int64), shards, seed), axis=0) if quotas else np.zeros((0, 0))
-    table = spark.createDataFrame(
-        [(*row, [int(x) for x in dealt[:, k]]) for k, row in enumerate(plan)],
-        "source string, source_size bigint, target double, _whole int, _rest double, _blocks bigint, _ends array<bigint>",
+    of = {row[0]: (*row[1:], [int(x) for x in dealt[:, k]]) for k, row in enumerate(plan)}
+
+    def small(rows: list[tuple], schema: str) -> DataFrame:
+        """A table of the driver's; broadcast if it is as small as mixtures are."""
+        df = spark.createDataFrame(rows, schema)
+        return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+    by = small(
+        [(s, part, before, *of[s]) for s, part, before in offsets],
+        "_s string, _p int, _offset bigint, source_size bigint, target double, _whole int, _rest double, _blocks bigint, _ends array<bigint>",
     )
-    offset = spark.createDataFrame(offsets, "source string, _part int, _offset bigint")
-    by = table.withColumnRenamed("source", "_s").join(offset.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    out = placed.join(by.withColumnRenamed("_part", "_p"), (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
-    at = F.col("_offset") + F.col("_before")
-    again = (F.col("size") > 0) & (at + F.col("size") / 2 <= F.col("_rest"))
+    out = placed.join(by, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
+    out = out.withColumn("_at", F.col("_offset") + F.col("_before"))
+    at, some = F.col("_at"), F.col("size") > 0
+    again = some & (at + F.col("size") / 2 <= F.col("_rest"))
+    got = dict(out.groupBy("source").agg(F.sum(F.when(again, F.col("size")).otherwise(0))).collect())
+    miss = {s: rest - got[s] for s, _, _, _, rest, _ in plan if s in got}
+    # one document of the source in or out of the last pass, if that comes nearer
+    misses = small(list(miss.items()), "_m string, _miss double")
+    near = out.filter(some).join(misses, F.col("source").eqNullSafe(F.col("_m")))
+    near = near.filter(F.when(F.col("_miss") > 0, ~again).otherwise(again))
+    off = F.abs(F.abs("_miss") - F.col("size"))
+    near = near.groupBy("source").agg(F.min(F.struct(off.alias("off"), "_at")).alias("best"), F.first("_miss").alias("miss"))
+    swaps = [(r["source"], r["best"]["_at"]) for r in near.collect() if r["best"]["off"] < abs(r["miss"])]
+    swapped = small(swaps, "_w string, _swap bigint")
+    out = out.join(swapped, F.col("source").eqNullSafe(F.col("_w")), "left")
+    again = again != (some & F.col("_at").eqNullSafe(F.col("_swap")))
     block = F.floor(at / block_words).cast("bigint")
     draws = F.filter(
         F.transform(F.sequence(F.lit(0), F.col("_whole")), lambda i: F.when((i < F.col("_whole")) & (F.col("size") > 0) | (i == F.col("_whole")) & again, i * F.col("_blocks") + block)),
