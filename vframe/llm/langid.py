@@ -175,8 +175,8 @@ def scorer(spark: SparkSession, model: Model):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = scorer(docs.sparkSession, model)(F.col("text")).alias("_found")
-    return docs.select(*kept, found).select(*kept, "_found.lang_pred", "_found.score")
+    found = scorer(docs.sparkSession, model)(F.col("text"))
+    return docs.select(*kept, found["lang_pred"].alias("lang_pred"), found["score"].alias("score"))
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
@@ -186,5 +186,5 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
     """
     if not model.langs:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = docs.withColumn("_found", scorer(docs.sparkSession, model)(F.col("text")))
-    return found.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= least)).drop("_found")
+    found = scorer(docs.sparkSession, model)(F.col("text"))
+    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= least))
