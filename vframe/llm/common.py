@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,18 @@ class Scratch:
         self.paths.clear()
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, actions hand Python workers Arrow batches of so many rows, where rows may be large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def parts(spark: SparkSession) -> int:
     """Partitions for shuffles whose number must be stated."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -10,7 +10,8 @@ A comparison reads the signatures a batch at a time. After ``m`` agreements
 of ``k`` values, under a uniform prior, the posterior probability that the
 similarity reaches the threshold is a binomial tail; a pair is dropped once
 it is below the chosen miss probability. Every survivor is verified on the
-full shingle sets of the whole texts.
+full shingle sets of the whole texts, within the block where it was found:
+a block gives links that join components, never all its pairs.
 
 Defined cases: a null text or one without words has no shingles and links
 with nothing; a null id takes no part, has component null and is kept; rows
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vframe.llm.common import Scratch, parts
+from vframe.llm.common import Scratch, batch_rows, parts
 from vframe.llm.components import components
 from vframe.llm.shingles import MinHash, sets
 from vframe.llm.streams import matrix, runs
@@ -37,8 +38,10 @@ from vframe.llm.streams import matrix, runs
 #: At similarity 0.8 a pair shares no band of 32 with 5 values with probability 3e-6.
 BANDS, ROWS = 32, 5
 BATCH = 16
+#: Rows of an Arrow batch; two sets of a long text may take a megabyte.
+BATCH_ROWS = 512
 #: Documents of a large bucket that are compared together.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def least_agreements(threshold: float, miss: float, values: int, step: int = BATCH) -> list[int]:
@@ -122,40 +125,84 @@ def _pruned(threshold: float, limits: list[int]):
     return run
 
 
-def _within(threshold: float, limits: list[int]):
-    """Of rows (band, bucket, i, j, block, doc, label, n, signature), sorted by the
-    first four, the pairs of each group that may be similar. Each pair comes from
-    the first band that the two share."""
+def _cross_pairs(label, n, s, block, cross: bool, threshold: float, limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a group that may be similar and are not joined yet."""
+    step, left, right = max(1, (1 << 18) // max(1, len(label))), [], []
+    for i in range(0, len(label), step):
+        rows = slice(i, i + step)
+        ok = (label[rows, None] != label[None, :]) & _similar_sizes(n[rows, None], n[None, :], threshold)
+        ok &= (block[rows, None] < block[None, :]) if cross else (np.arange(len(label))[rows, None] < np.arange(len(label))[None, :])
+        if ok.any():
+            x, y = np.nonzero(ok)
+            x += i
+            kept = survivors(s[x], s[y], limits)
+            left.append(x[kept])
+            right.append(y[kept])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(left), np.concatenate(right)
 
-    def pairs(doc, label, n, s, block, cross) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, (1 << 18) // max(1, len(doc)))
-        for i in range(0, len(doc), step):
-            rows = slice(i, i + step)
-            ok = (label[rows, None] != label[None, :]) & _similar_sizes(n[rows, None], n[None, :], threshold)
-            ok &= (block[rows, None] < block[None, :]) if cross else (np.arange(len(doc))[rows, None] < np.arange(len(doc))[None, :])
-            if ok.any():
-                x, y = np.nonzero(ok)
-                x += i
-                kept = survivors(s[x], s[y], limits)
-                yield x[kept], y[kept]
+
+CELL = "band int, bucket bigint, i int, j int, block int, doc_id bigint, label bigint, n_shingles bigint, signature binary"
+
+
+def _groups(batches: Iterator[pa.RecordBatch], threshold: float, limits: list[int]):
+    """Of rows of CELL, sorted by the first four: each group with its pairs.
+
+    A pair belongs to the first band that the two share.
+    """
+    for table, at in runs(batches, 4):
+        band, i, j, block, doc, label, n = (table.column(c).to_numpy() for c in (0, 2, 3, 4, 5, 6, 7))
+        s = matrix(table.column(8), "<u2", BANDS * ROWS)
+        for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            g = slice(low, high)
+            if high - low < 2:
+                continue
+            x, y = _cross_pairs(label[g], n[g], s[g], block[g], i[low] != j[low], threshold, limits)
+            if len(x):
+                shared = (s[x + low].reshape(-1, BANDS, ROWS) == s[y + low].reshape(-1, BANDS, ROWS)).all(axis=2).argmax(axis=1)
+                own = (shared == band[low]) & (doc[x + low] != doc[y + low])
+                x, y = x[own], y[own]
+            if len(x):
+                alike = (s[x + low] == s[y + low]).sum(axis=1)
+                order = np.argsort(-alike, kind="stable")
+                yield table.slice(low, high - low), x[order], y[order]
+
+
+def _with_pairs(threshold: float, limits: list[int]):
+    """The rows of CELL that are in a pair, which alone need their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in runs(batches, 4):
-            band, i, j, block, doc, label, n = (table.column(c).to_numpy() for c in (0, 2, 3, 4, 5, 6, 7))
-            s = matrix(table.column(8), "<u2", BANDS * ROWS)
-            left, right = [], []
-            for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if high - low < 2:
-                    continue
-                g = slice(low, high)
-                for x, y in pairs(doc[g], label[g], n[g], s[g], block[g], i[low] != j[low]):
-                    x, y = x + low, y + low
-                    shared = (s[x].reshape(-1, BANDS, ROWS) == s[y].reshape(-1, BANDS, ROWS)).all(axis=2).argmax(axis=1)
-                    own = (shared == band[low]) & (doc[x] != doc[y])
-                    left.append(doc[x[own]])
-                    right.append(doc[y[own]])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+        for group, x, y in _groups(batches, threshold, limits):
+            yield from group.take(pa.array(np.unique(np.concatenate((x, y))))).combine_chunks().to_batches()
+
+    return run
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _links_within(threshold: float, limits: list[int], percent: int):
+    """Over rows of CELL and their sets: verified links that join two components.
+
+    The likeliest pairs go first and pairs that a link has joined are passed
+    over, so a group gives fewer links than it has rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, x, y in _groups(batches, threshold, limits):
+            doc, root = group.column(5).to_pylist(), group.column(6).to_pylist()
+            held = [np.frombuffer(v.as_buffer(), "<u8") for v in group.column(9)]
+            found = []
+            for a, b in zip(x.tolist(), y.tolist(), strict=True):
+                if root[a] != root[b] and _similar(held[a], held[b], percent):
+                    found.append((doc[a], doc[b]))
+                    old, new = root[b], root[a]
+                    root = [new if r == old else r for r in root]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
@@ -176,9 +223,7 @@ def _exact(percent: int):
         for b in batches:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+                ok.append(_similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -192,8 +237,13 @@ def find_duplicates(
     Documents are linked where 100 * intersection >= percent * union of their
     sets of ``shingle`` words.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return _found(docs, shingle, percent, miss, scratch)
+
+
+def _found(docs: DataFrame, shingle: int, percent: int, miss: float, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
     threshold, limits = percent / 100, least_agreements(percent / 100, miss, BANDS * ROWS)
     n_parts = parts(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -215,19 +265,17 @@ def find_duplicates(
     def side(name: str) -> DataFrame:
         return sizes.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("signature").alias(f"s_{name}"))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that are similar on their full sets."""
-        pairs = scratch.table(pairs, f"{name}-candidates")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        found = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(shingle), "doc_id bigint, set binary")
-        found = scratch.table(found, f"{name}-sets", compression="none")
-        both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-        both = both.join(found.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-        return scratch.table(both.select("a", "b", "x", "y").mapInArrow(_exact(percent), "a bigint, b bigint"), f"{name}-links")
+    # the full sets of all that share a bucket; both sides grow with the corpus, so neither is broadcast
+    ids = members.select("doc_id").distinct().hint("merge")
+    held = texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingle_sets(shingle), "doc_id bigint, set binary")
+    held = scratch.table(held, "sets")
 
     star = members.filter("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     star = star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    links = verified(star.mapInArrow(_pruned(threshold, limits), "a bigint, b bigint"), "star")
+    star = scratch.table(star.mapInArrow(_pruned(threshold, limits), "a bigint, b bigint"), "star")
+    both = star.hint("merge").join(held.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
+    both = both.hint("merge").join(held.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    links = scratch.table(both.select("a", "b", "x", "y").mapInArrow(_exact(percent), "a bigint, b bigint"), "star-links")
 
     # what the least document of a bucket did not join
     label = scratch.table(components(links, scratch).select(F.col("id").alias("doc_id"), "component"), "joined")
@@ -239,8 +287,12 @@ def find_duplicates(
     open_ = labelled.join(mixed.select("band", "bucket"), ["band", "bucket"]).withColumn("blocks", blocks).withColumn("block", own)
     open_ = open_.join(sizes, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "label", "n_shingles", "signature")
-    grouped = open_.repartition(n_parts, "band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
-    more = verified(grouped.mapInArrow(_within(threshold, limits), "a bigint, b bigint"), "rest")
+    key = ["band", "bucket", "i", "j"]
+    grouped = open_.repartition(n_parts, *key).sortWithinPartitions(*key)
+    paired = scratch.table(grouped.mapInArrow(_with_pairs(threshold, limits), CELL), "paired")
+    paired = paired.join(held.hint("merge"), "doc_id").select(*paired.columns, "set")
+    again = paired.repartition(n_parts, *key).sortWithinPartitions(*key)
+    more = scratch.table(again.mapInArrow(_links_within(threshold, limits, percent), "a bigint, b bigint"), "rest-links")
 
     found = scratch.table(components(links.unionAll(more).unionAll(copies), scratch).select(F.col("id").alias("doc_id"), "component"), "components")
     component = F.coalesce("component", "doc_id")
