@@ -18,6 +18,8 @@ named like the operator's own are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,16 @@ _SSN = r"\d{3}-\d{2}-\d{4}"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}\.[A-Za-z]{2,24}"
+#: What every candidate has, cheaply found: an at sign, or seven characters of a number.
+HINT = r"@|[0-9][0-9 ()./+-]{5,}[0-9]"
 CANDIDATE = rf"{_EMAIL}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:{_IP}(?!\.?\d)|{_DATE}|{_SSN}(?!-\d)|{_CARD}|{_NANP}|{_WORLD})(?![A-Za-z0-9])"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, wherever the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _prf(key: str, kind: str, i: Column, value: Column) -> Column:
     """A keyed hash as 60 bits."""
     hashed = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), value.cast("string"), F.lit(key)), 256)
@@ -98,16 +107,21 @@ def _card(m: Column, key: str) -> Column:
     low = F.floor(n / 2).cast("int")
     new = _padded(permuted(payload.cast("bigint"), _power(n - low), _power(low), key, "card"), n)
     valid = (_check_digit(payload) == F.substr(digits, F.length(digits), F.lit(1)).cast("int")) & F.length(digits).between(13, 19) & ~digits.rlike("^0+$")
-    return F.when(valid, _placed(m, F.concat(new, _check_digit(new).cast("string"))))
+    made = _let(new, lambda p: _let(F.concat(p, _check_digit(p).cast("string")), lambda d: _placed(m, d)))
+    return F.when(valid, made)
 
 
 def _nanp(m: Column, key: str) -> Column:
     digits = F.right(_digits(m), F.lit(10))
     area, office, line = (F.substring(digits, at, n).cast("bigint") for at, n in ((1, 3), (4, 3), (7, 4)))
-    x = permuted(((area - 200) * 800 + office - 200) * 10_000 + line, 80_000, 80_000, key, "nanp")
-    line, rest = F.pmod(x, F.lit(10_000)), F.floor(x / 10_000).cast("bigint")
-    new = F.concat(_padded(F.floor(rest / 800).cast("bigint") + 200, 3), _padded(F.pmod(rest, F.lit(800)) + 200, 3), _padded(line, 4))
-    return _placed(m, F.concat(F.substr(_digits(m), F.lit(1), F.length(_digits(m)) - 10), new))
+    start = ((area - 200) * 800 + office - 200) * 10_000 + line
+
+    def shown(x: Column) -> Column:
+        line, rest = F.pmod(x, F.lit(10_000)), F.call_function("div", x, F.lit(10_000))
+        return F.concat(_padded(F.call_function("div", rest, F.lit(800)) + 200, 3), _padded(F.pmod(rest, F.lit(800)) + 200, 3), _padded(line, 4))
+
+    code = F.substr(_digits(m), F.lit(1), F.length(_digits(m)) - 10)
+    return _let(permuted(start, 80_000, 80_000, key, "nanp"), lambda x: _let(F.concat(code, shown(x)), lambda d: _placed(m, d)))
 
 
 def _world(m: Column, key: str) -> Column:
@@ -115,26 +129,29 @@ def _world(m: Column, key: str) -> Column:
     tail = F.substr(digits, F.lit(3), F.length(digits))
     n = F.length(tail)
     low = F.floor(n / 2).cast("int")
-    new = _padded(permuted(tail.cast("bigint"), _power(n - low), _power(low), key, "world"), n)
-    return F.when(F.length(digits).between(8, 15), _placed(m, F.concat(F.substring(digits, 1, 2), new)))
+    new = F.concat(F.substring(digits, 1, 2), _padded(permuted(tail.cast("bigint"), _power(n - low), _power(low), key, "world"), n))
+    return F.when(F.length(digits).between(8, 15), _let(new, lambda d: _placed(m, d)))
 
 
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, at, n).cast("bigint") for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = area - F.when(area > 666, 2).otherwise(1)
-    x = permuted((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
-    serial, rest = F.pmod(x, F.lit(9999)) + 1, F.floor(x / 9999).cast("bigint")
-    place = F.floor(rest / 99).cast("bigint")
-    area = place + F.when(place >= 665, 2).otherwise(1)
-    return F.when(valid, F.concat_ws("-", _padded(area, 3), _padded(F.pmod(rest, F.lit(99)) + 1, 2), _padded(serial, 4)))
+
+    def shown(x: Column) -> Column:
+        rest = F.call_function("div", x, F.lit(9999))
+        place = F.call_function("div", rest, F.lit(99))
+        area = place + F.when(place >= 665, 2).otherwise(1)
+        return F.concat_ws("-", _padded(area, 3), _padded(F.pmod(rest, F.lit(99)) + 1, 2), _padded(F.pmod(x, F.lit(9999)) + 1, 4))
+
+    return F.when(valid, _let(permuted((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn"), shown))
 
 
 def _ip(m: Column, key: str) -> Column:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("bigint"))
     x = F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, p: s * 256 + p)
     new = permuted(x, 65_536, 65_536, key, "ip")
-    octets = F.concat_ws(".", *(F.pmod(F.shiftright(new, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)))
+    octets = _let(new, lambda v: F.concat_ws(".", *(F.pmod(F.shiftright(v, n), F.lit(256)).cast("string") for n in (24, 16, 8, 0))))
     return F.when(F.forall(parts, lambda p: p <= 255), octets)
 
 
@@ -153,7 +170,7 @@ def _day(d: Column, key: str, late: bool = False) -> Column:
         return F.date_add(F.lit(_FIRST).cast("date"), v.cast("int"))
 
     if late:  # again until it is one of them
-        x = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x), lambda v, _: F.when(F.dayofmonth(date(v)) > 12, v).otherwise(once(v)))
+        x = F.aggregate(F.sequence(F.lit(1), F.lit(64)), once(x), lambda v, _: F.when(F.dayofmonth(date(v)) > 12, v).otherwise(once(v)))  # stops changing once it is
     else:
         x = once(x)
     return F.when(d.between(F.lit(_FIRST).cast("date"), F.lit(_LAST).cast("date")), date(x))
@@ -167,7 +184,7 @@ def _date(m: Column, key: str) -> Column:
     wide = F.least(F.length(F.get(p, F.lit(0))), F.length(F.get(p, F.lit(1)))) > 1
 
     def shown(order: tuple[str, str], sep: str, d: Column) -> Column:
-        return F.concat_ws(sep, *(F.when(wide, F.date_format(d, x * 2)).otherwise(F.date_format(d, x)) for x in order), F.date_format(d, "yyyy"))
+        return _let(d, lambda v: F.when(v.isNotNull(), F.concat_ws(sep, *(F.when(wide, F.date_format(v, x * 2)).otherwise(F.date_format(v, x)) for x in order), F.date_format(v, "yyyy"))))
 
     iso = F.date_format(_day(parsed(F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))), key), "yyyy-MM-dd")
     month_first = parsed(F.get(p, F.lit(2)), F.get(p, F.lit(0)), F.get(p, F.lit(1)))
@@ -201,8 +218,8 @@ def _email(m: Column, key: str) -> Column:
         return F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), other, F.lit(key)), 256)
 
     def step(h: Column, i: Column) -> Column:
-        even = F.struct(_shifted(h["l"], hashed(i, h["r"])).alias("l"), h["r"].alias("r"))
-        odd = F.struct(h["l"].alias("l"), _shifted(h["r"], hashed(i, h["l"])).alias("r"))
+        even = _let(hashed(i, h["r"]), lambda x: F.struct(_shifted(h["l"], x).alias("l"), h["r"].alias("r")))
+        odd = _let(hashed(i, h["l"]), lambda x: F.struct(h["l"].alias("l"), _shifted(h["r"], x).alias("r")))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
     start = F.struct(F.substr(local, F.lit(1), half).alias("l"), F.substr(local, half + 1, F.length(local)).alias("r"))
@@ -214,7 +231,7 @@ def _item(m: Column, key: str) -> Column:
     """The kind of a candidate and its pseudonym, both null if it does not validate."""
 
     def of(kind: str, new: Column) -> Column:
-        return F.struct(F.when(new.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(new, m).alias("text"))
+        return _let(new, lambda x: F.struct(F.when(x.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(x, m).alias("text")))
 
     return (
         F.when(F.contains(m, F.lit("@")), of("email", _email(m, key)))
@@ -228,14 +245,14 @@ def _item(m: Column, key: str) -> Column:
 
 
 def _scanned(docs: DataFrame, key: str) -> tuple[DataFrame, Column]:
-    """``docs`` with _found and _items, what was found and stands for it, and the new text."""
+    """``docs`` with two columns of what was found and what stands for it, and the new text."""
     text = F.col("text").cast("string")
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    rows = docs.withColumn("_found", found)
-    rows = rows.withColumn("_items", F.when(F.size("_found") > 0, F.transform("_found", lambda m: _item(m, key))))
+    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    rows = docs.withColumn("__pii_found", found)
+    rows = rows.withColumn("__pii_items", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", lambda m: _item(m, key))))
     between = F.split(text, CANDIDATE, -1)
-    new = F.array_join(F.zip_with(between, F.concat(F.transform("_items", lambda x: x["text"]), F.array(F.lit(""))), lambda s, x: F.concat(s, x)), "")
-    return rows, F.when(F.col("_items").isNull(), text).otherwise(new).alias("text")
+    new = F.array_join(F.zip_with(between, F.concat(F.transform("__pii_items", lambda x: x["text"]), F.array(F.lit(""))), lambda s, x: F.concat(s, x)), "")
+    return rows, F.when(F.col("__pii_items").isNull(), text).otherwise(new).alias("text")
 
 
 def redact(docs: DataFrame, key: str) -> DataFrame:
@@ -253,7 +270,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     rows, text = _scanned(docs, key)
 
     def count(kind: str) -> Column:
-        n = F.size(F.filter("_items", lambda x: F.coalesce(x["kind"] == kind, F.lit(False))))
-        return F.when(F.col("_items").isNull(), F.lit(0)).otherwise(n).cast("bigint").alias(f"n_{kind}")
+        n = F.size(F.filter("__pii_items", lambda x: F.coalesce(x["kind"] == kind, F.lit(False))))
+        return F.when(F.col("__pii_items").isNull(), F.lit(0)).otherwise(n).cast("bigint").alias(f"n_{kind}")
 
     return rows.select(*(text if c == "text" else c for c in docs.columns if c not in own), *map(count, KINDS))
