@@ -4,10 +4,14 @@ Equal vectors are one class, which goes on as one row. Each table hashes a
 vector to the signs of its products with ``bits`` random directions. A pair
 at the threshold's angle shares a table with probability p ** bits; the
 number of tables follows from the chosen miss probability and the bits grow
-with the logarithm of the rows, so cells stay small. Cells are compared in
-blocks of bounded size as matrix products in double precision. A block gives
-each row its number of links (a pair counts in the first table it shares
-only) and its component within the block, never the pairs.
+with the logarithm of the rows, so cells stay small. To a cell go the signs of
+all tables, a few dozen bytes, and not the vectors: a pair whose signs differ
+in more places than pairs at the threshold's angle ever do (by eight standard
+deviations) is no link. Only rows that still have a partner are sent again
+with their vectors, and compared in blocks of bounded size as matrix products
+in double precision. A block gives each row its number of links (a pair
+counts in the first table it shares only) and its component within the block,
+never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null id, link with nothing and are kept as their
@@ -42,33 +46,74 @@ def plan(rows: int, threshold: float, miss: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log(1 - p**bits))
 
 
-def keys(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """The cell of each row in each table."""
+def most_apart(threshold: float, n: int) -> int:
+    """Of ``n`` signs, as many as a pair at the threshold's angle may differ in."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(n * p + 8 * math.sqrt(n * p * (1 - p)))
+
+
+def signs(x: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """The signs of each row, rows x tables x bits."""
     rng = np.random.default_rng([seed, x.shape[1]])
     planes = rng.standard_normal((x.shape[1], tables * bits))
-    signs = (x @ planes > 0).reshape(len(x), tables, bits)
-    return (signs << np.arange(bits)).sum(axis=2).astype("<i4")
+    return (x @ planes > 0).reshape(len(x), tables, bits)
+
+
+def cells(found: np.ndarray) -> np.ndarray:
+    """The cell of each row in each table."""
+    return (found << np.arange(found.shape[2])).sum(axis=2).astype("<i4")
 
 
 def _hash(bits: int, tables: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, x in vectors.by_width(b.column(2)):
-                found = keys(vectors.units(x), bits, tables, seed)
+                found = signs(vectors.units(x), bits, tables, seed)
+                at, packed = cells(found), np.packbits(found.reshape(len(x), -1), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(rows)),
                         b.column(1).take(pa.array(rows)),
                         pa.array(np.full(len(rows), x.shape[1], np.int32)),
                         pa.array([v.tobytes() for v in x], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, tables, dtype=np.int32)), pa.array(found.ravel())),
+                        pa.array([v.tobytes() for v in packed], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, tables, dtype=np.int32)), pa.array(at.ravel())),
                     ],
-                    names=["rep", "copies", "width", "vector", "cells"],
+                    names=["rep", "copies", "width", "vector", "signs", "cells"],
                 )
 
     return run
 
 
+CELL = "width int, table int, cell int, i int, j int, block int, rep bigint"
+
+
+def _partnered(apart: int):
+    """Over rows of CELL and their signs, sorted by the first five: those with a partner that may be a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, at in runs(batches, 5):
+            first, second, block = (data.column(i).to_numpy() for i in (3, 4, 5))
+            raw, kept = data.column(7).to_pylist(), []
+            for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if high - low < 2:
+                    continue
+                packed = np.frombuffer(b"".join(raw[low:high]), dtype=np.uint8).reshape(high - low, -1)
+                packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
+                differ = np.zeros((len(packed), len(packed)), dtype=np.int32)
+                for word in packed.T:
+                    differ += np.bitwise_count(word[:, None] ^ word[None, :])
+                near = differ <= apart
+                np.fill_diagonal(near, False)
+                if first[low] != second[low]:
+                    near &= block[low:high, None] != block[None, low:high]
+                kept.append(low + np.flatnonzero(near.any(axis=1)))
+            if kept:
+                yield from data.select(range(7)).take(pa.array(np.concatenate(kept))).combine_chunks().to_batches()
+
+    return run
+
+
 def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows of x and y have a cosine of ``threshold`` or more."""
     near = vectors.units(x) @ vectors.units(y).T
@@ -78,21 +123,19 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def _compare(threshold: float):
-    """Over rows (width, table, cell, i, j, block, rep, copies, vector, cells), sorted
-    by the first five: rep, links and the least rep it is joined to in the block."""
+def _compare(threshold: float, bits: int, tables: int):
+    """Over rows of CELL, copies, vector and signs, sorted by the first five: rep, links and the least rep it is joined to in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, at in runs(batches, 5):
             column = [data.column(i).to_numpy() for i in range(8)]
             _, table, _, first, second, block, rep, copies = column
-            raw, cells = data.column(8), data.column(9).combine_chunks()
-            cells = (cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells).flatten().to_numpy().reshape(len(rep), -1)
+            raw, packed = data.column(8), data.column(9)
             out = []
             for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if high - low < 2:
                     continue
-                ids, n, own = rep[low:high], copies[low:high], cells[low:high]
+                ids, n = rep[low:high], copies[low:high]
                 x = np.stack([np.frombuffer(v.as_buffer(), "<f4") for v in raw.slice(low, high - low)])
                 links = linked(x, x, threshold)
                 if first[low] != second[low]:
@@ -107,6 +150,8 @@ def _compare(threshold: float):
                     if (step == least).all():
                         break
                     least = step
+                own = np.stack([np.frombuffer(v.as_buffer(), np.uint8) for v in packed.slice(low, high - low)])
+                own = cells(np.unpackbits(own, axis=1)[:, : tables * bits].reshape(len(ids), tables, bits))
                 for t in range(int(table[low])):
                     links &= own[:, t][:, None] != own[:, t][None, :]
                 total = (links * n[None, :]).sum(axis=1)
@@ -132,18 +177,24 @@ def find_duplicates(data: DataFrame, threshold: float = 0.95, miss: float = 1e-4
     stands = placed.filter(F.col("embedding").isNotNull()).groupBy("rep", "h1", "h2").agg(F.first("copies").alias("copies"), F.first("embedding").alias("embedding"))
     bits, tables = plan(placed.count(), threshold, miss)
     hashed = stands.select("rep", "copies", "embedding").mapInArrow(
-        _hash(bits, tables, seed), "rep bigint, copies bigint, width int, vector binary, cells array<int>"
+        _hash(bits, tables, seed), "rep bigint, copies bigint, width int, vector binary, signs binary, cells array<int>"
     )
     hashed = scratch.table(hashed, "hashed")
-    spread = hashed.select("rep", "copies", "width", "vector", "cells", F.posexplode("cells").alias("table", "cell"))
     cell = ["width", "table", "cell"]
+    key = [*cell, "i", "j"]
+    spread = hashed.select("rep", "signs", "width", F.posexplode("cells").alias("table", "cell"))
+    # cells of several blocks; few, for the cells are made to hold some dozens of rows
     large = hashed.select("width", F.posexplode("cells").alias("table", "cell")).groupBy(*cell).count()
-    large = large.filter(F.col("count") > 1).select(*cell, F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    spread = spread.join(large, cell).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    large = large.filter(F.col("count") > BLOCK).select(*cell, F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
+    spread = spread.join(large, cell, "left").withColumn("blocks", F.coalesce("n", F.lit(1)))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = [*cell, "i", "j"]
-    spread = spread.select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "vector", "cells")
-    found = spread.repartition(parts(spark), *key).sortWithinPartitions(*key).mapInArrow(_compare(threshold), "rep bigint, links bigint, least bigint")
+    spread = spread.select(*cell, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "signs")
+    spread = spread.repartition(parts(spark), *key).sortWithinPartitions(*key)
+    near = scratch.table(spread.mapInArrow(_partnered(most_apart(threshold, bits * tables)), CELL), "near")
+    near = near.join(hashed.select("rep", "copies", "vector", "signs"), "rep").select(*near.columns, "copies", "vector", "signs")
+    near = near.repartition(parts(spark), *key).sortWithinPartitions(*key)
+    found = near.mapInArrow(_compare(threshold, bits, tables), "rep bigint, links bigint, least bigint")
     found = scratch.table(found, "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = scratch.table(components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")), scratch), "components")
