@@ -183,6 +183,16 @@ def test_language_cases(spark, docs):
     assert langid.identify(empty(docs), model).count() == 0
 
 
+def test_language_rejects(spark, real):
+    model = langid.train(real)
+    rng = np.random.default_rng(3)
+    noise = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 9)))) for _ in range(60))
+    foreign = {-1: "Сегодня хорошая погода, и мы идем гулять в парк.", -2: "今天天气很好", -3: noise, -4: "Привет", -5: "Я"}
+    rows = [(i, t, None) for i, t in foreign.items()] + [(-6, "The thing and the other of them", None)]
+    both = real.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {r["doc_id"] for r in langid.keep_known(both, model).collect()} == {r["doc_id"] for r in real.collect()} | {-6}
+
+
 # chat
 
 HARD = ["\\### Assistant: </turn> ok", "", None, "\\", "</", "###### \\\\ </turn>\n### user: x</turn>\n+ y", "+ z", "line\n\n", "<</turn>", "$1 \\1"]

@@ -10,6 +10,13 @@ matrix products: presence by landmarks, and kernel values by languages.
 The runs are those of the landmarks; letters beyond the ``LETTERS`` most
 common of the sample count as one symbol, and everything but letters as a gap.
 
+A score only says which language is nearest, and the nearest of n languages
+has about 1/n or more for any text. Whether a text is like a language at all
+is told by the share of its three-letter runs, repeats counted, that the
+landmarks hold: none for a foreign alphabet, few for gibberish. The least
+share of a language is ``LEAST_PART`` of what its labelled rows have, each
+row measured against the other landmarks.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0;
 rows without text, letter or language teach nothing; without any labelled
 text all is ``und``; ties go to the language first by code point; an empty
@@ -31,6 +38,8 @@ from pyspark.sql import functions as F
 TRAIN_ROWS, LANDMARKS = 1600, 192
 LETTERS = 96
 RIDGE = 1e-3
+#: A language's least share is so much of this quantile of its labelled rows.
+LEAST_PART, LEAST_QUANTILE = 0.5, 0.01
 BATCH = 256
 
 
@@ -51,6 +60,7 @@ class Model:
     slot: np.ndarray  #: of each run's code, its column or -1
     landmarks: np.ndarray  #: runs x landmarks, normalised
     coefficients: np.ndarray  #: landmarks + 1 x languages
+    least: np.ndarray  #: of each language, the least share of runs held
 
 
 def codes(text: str, table: np.ndarray, base: int) -> np.ndarray | None:
@@ -65,6 +75,11 @@ def codes(text: str, table: np.ndarray, base: int) -> np.ndarray | None:
     return np.concatenate((s, base + two, base + base * base + three))
 
 
+def _threes(x: np.ndarray) -> np.ndarray:
+    """Of values by run, as ``codes`` orders them, those of three-letter runs."""
+    return x[2 * len(x) // 3 + 1 :]
+
+
 def _normalised(presence: np.ndarray) -> np.ndarray:
     return presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
 
@@ -79,7 +94,8 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
                 seen[c] = seen.get(c, 0) + 1
     letters = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:LETTERS]))
     table, base = symbols(letters), len(letters) + 2
-    found = [np.unique(codes(t, table, base)) for t in texts]
+    whole = [codes(t, table, base) for t in texts]
+    found = [np.unique(x) for x in whole]
     by = {g: [i for i, x in enumerate(langs) if x == g] for g in names}
     chosen: list[int] = []
     for turn in range(max(map(len, by.values()), default=0)):
@@ -94,6 +110,10 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
         presence[i, at[at >= 0]] = 1
     presence = _normalised(presence)
     marks = presence[chosen].T.copy()
+    holders = np.append((marks > 0).sum(axis=1), 0)  # the last for runs of no column
+    own = np.isin(np.arange(len(texts)), chosen)
+    share = np.array([(holders[slot[_threes(x)]] > own[i]).mean() for i, x in enumerate(whole)])
+    least = np.array([LEAST_PART * np.quantile(share[by[g]], LEAST_QUANTILE) for g in names])
     kernel = presence @ marks
     values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
     ok = values > 1e-6 * max(values.max(initial=0), 1e-12)
@@ -103,7 +123,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
     weight = np.array([1 / len(by[x]) for x in langs])[:, None]  # languages count alike
     gram = features.T @ (weight * features) + RIDGE * np.eye(features.shape[1])
     solved = np.linalg.solve(gram, features.T @ (weight * goal))
-    return Model(letters, names, slot, marks, np.vstack((root @ solved[:-1], solved[-1:])).astype(np.float32))
+    return Model(letters, names, slot, marks, np.vstack((root @ solved[:-1], solved[-1:])).astype(np.float32), least)
 
 
 _TABLES: dict[str, np.ndarray] = {}
@@ -111,27 +131,42 @@ _TABLES: dict[str, np.ndarray] = {}
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Languages and scores of texts."""
+    return judge(model, texts)[:2]
+
+
+def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages and scores of texts, and whether each is like its language.
+
+    Of a short text's share, two standard deviations are forgiven; a text
+    none of whose letters a landmark has is never alike.
+    """
     if model.letters not in _TABLES:
         _TABLES[model.letters] = symbols(model.letters)
     table, base = _TABLES[model.letters], len(model.letters) + 2
-    langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+    langs, scores, alike = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
     if not model.langs:
-        return langs, scores
+        return langs, scores, alike
     for i in range(0, len(texts), BATCH):
         part = texts[i : i + BATCH]
-        presence, rows = np.zeros((len(part), model.landmarks.shape[0]), dtype=np.float32), []
+        presence, rows, shares = np.zeros((len(part), model.landmarks.shape[0]), dtype=np.float32), [], []
         for j, t in enumerate(part):
             found = codes(t, table, base) if t else None
             if found is not None:
                 at = model.slot[found]
                 presence[len(rows), at[at >= 0]] = 1
                 rows.append(i + j)
+                threes = _threes(at)
+                letter = (at >= 0) & (found > 0)
+                shares.append(((threes >= 0).mean() if letter[: len(threes) + 2].any() else -1.0, len(threes)))
         kernel = _normalised(presence[: len(rows)]) @ model.landmarks
         values = kernel @ model.coefficients[:-1] + model.coefficients[-1]
         best = values.argmax(axis=1) if len(rows) else []
         for j, k in enumerate(best):
             langs[rows[j]], scores[rows[j]] = model.langs[k], min(1.0, max(0.0, (1 + float(values[j, k])) / 2))
-    return langs, scores
+            share, n = shares[j]
+            least = model.least[k]
+            alike[rows[j]] = share >= max(0.0, least - 2 * np.sqrt(least * (1 - least) / n))
+    return langs, scores, alike
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARKS, seed: int = 5) -> Model:
@@ -144,7 +179,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
     usable = usable.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = dict(usable.groupBy("lang").count().collect())
     if not counts:
-        return Model("", [], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((1, 0), np.float32))
+        return Model("", [], np.zeros(0, np.int32), np.zeros((0, 0), np.float32), np.zeros((1, 0), np.float32), np.zeros(0))
     each = max(1, rows // len(counts))
     unit = F.shiftrightunsigned("h", 11) / float(1 << 53)
     limit = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, (2.0 * each + 20) / n))))
@@ -160,14 +195,14 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, landmarks: int = LANDMARK
 
 
 def scorer(spark: SparkSession, model: Model):
-    """A column function of a text: struct of lang_pred and score."""
+    """A column function of a text: struct of lang_pred, score and alike."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, alike boolean")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            langs, scores = predict(held.value, [t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            langs, scores, alike = judge(held.value, [t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "alike": alike})
 
     return lambda text: score(text.cast("string"))
 
@@ -180,11 +215,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = 0.2) -> DataFrame:
-    """The documents whose language is known with a score of ``least`` or more.
+    """The documents like one of the languages, with a score of ``least`` or more.
 
     Where no language was learned, those with a letter.
     """
     if not model.langs:
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = scorer(docs.sparkSession, model)(F.col("text"))
-    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= least))
+    return docs.filter((found["lang_pred"] != "und") & (found["score"] >= least) & found["alike"])
