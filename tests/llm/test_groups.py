@@ -130,6 +130,27 @@ def test_search(points):
     assert ann.search(df.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_of_isolated(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    tight = np.repeat(centres, 40, axis=0) + 0.01 * rng.normal(size=(1600, 32))
+    x = np.concatenate((tight, rng.normal(size=(60, 32)))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = {}
+    for r in ann.search(df, (F.col("vec_id") % 100 == 0) | (F.col("vec_id") >= 1600), k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["rank"]))
+    assert set(got) == {*range(0, 1600, 100), *range(1600, 1660)}
+    assert all([k for _, k in v] == [1, 2, 3, 4, 5] and q not in dict(v) for q, v in got.items())
+
+
+def test_best_counts_ids_once():
+    x = np.array([[1, 0]] * 6 + [[1, 0.1], [1, 0.2], [0, 1]], dtype=np.float32)
+    ids = np.array([7] * 6 + [1, 2, 9])
+    q, found, _ = ann.best(x[:1], np.array([9]), x, ids, 3)
+    assert q.tolist() == [0, 0, 0] and found.tolist() == [7, 1, 2]
+
+
 def test_hadamard():
     h = ann.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)

@@ -7,7 +7,8 @@ order of nearness; how many is fitted: on a bounded sample of rows the
 smallest number is taken that reaches ``recall`` against brute force. Cells
 hold blocks of a bounded number of rows (a large cell has several), queries
 stream past a block, and each keeps its best of a block; the candidates are
-scored exactly, in double precision, on the original vectors.
+scored exactly, in double precision, on the original vectors. A query whose
+cells hold fewer than k other rows is compared with all rows, in blocks.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows with a null id; vectors of another
@@ -33,6 +34,8 @@ from vframe.llm.streams import runs
 SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 512
 #: Rows of a cell that are searched together.
 BLOCK = 8192
+#: Where queries are compared with all rows, a block has no fewer than this.
+LEAST_BLOCK = 256
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -76,17 +79,26 @@ def probes(x: np.ndarray, tables: int, seed: int, count: int) -> np.ndarray:
 
 
 def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's index, id, score) of each query's ``k`` nearest rows with another id."""
+    """(query's index, id, score) of each query's ``k`` nearest other ids, each by its nearest row."""
     near = vectors.units(queries) @ vectors.units(rows).T
     near[own[:, None] == ids[None, :]] = -np.inf
-    if near.shape[1] > k:  # all that rounding could put among the k nearest
-        least = np.partition(near, -k, axis=1)[:, -k] - 1e-9
+    by_id = near
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1)) if len(ids) else order
+    if len(first) < len(ids):
+        by_id = np.maximum.reduceat(near[:, order], first, axis=1)
+    if by_id.shape[1] > k:  # all that rounding could put among the k nearest
+        least = np.maximum(np.partition(by_id, -k, axis=1)[:, -k] - 1e-9, -2.0)
     else:
         least = np.full(len(near), -2.0)
     q, r = np.nonzero(near >= least[:, None])
     score = vectors.cosine(queries[q], rows[r])
     order = np.lexsort((ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
+    if by_id is not near:
+        _, once = np.unique(np.stack((q, ids[r])), axis=1, return_index=True)
+        once.sort()
+        q, r, score = q[once], r[once], score[once]
     first = np.searchsorted(q, q, side="left")
     kept = np.arange(len(q)) - first < k
     return q[kept], ids[r[kept]], score[kept]
@@ -205,7 +217,29 @@ def search(
     placed = rows.join(F.broadcast(blocks), cell).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("is_query", F.lit(0))
     probing = asked.join(F.broadcast(blocks), cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(1))
     both = placed.select(*key, "vec_id", "vector").unionByName(probing.select(*key, "vec_id", "vector"))
-    found = both.repartition(parts(spark), *key[:4]).sortWithinPartitions(*key).mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
+    result = scratch.table(_ranked(_searched(both, key, k), k), "found")
+    # queries that found fewer than k of the rows there are
+    counted = result.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"))
+    sizes = spark.createDataFrame([(w, n, max(-(-n // BLOCK), min(parts(spark), -(-n // LEAST_BLOCK)))) for w, n in totals.items()], "width int, total bigint, blocks int")
+    n = F.coalesce("n", F.lit(0))
+    short = indexed.filter(is_query).select("vec_id", "width", "vector").join(counted, "vec_id", "left").join(F.broadcast(sizes), "width")
+    short = scratch.table(short.filter((n < k) & (n < F.col("total") - 1)).select("vec_id", "width", "vector", "blocks"), "short")
+    if short.isEmpty():
+        return result
+    none = [F.lit(0).alias("table"), F.lit(0).alias("cell")]
+    all_rows = indexed.join(F.broadcast(sizes), "width").join(F.broadcast(short.select("width").distinct()), "width")
+    placed = all_rows.select("width", *none, F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("is_query"), "vec_id", "vector")
+    asking = short.select("width", *none, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("is_query"), "vec_id", "vector")
+    return _ranked(result.drop("rank").unionByName(_searched(placed.unionByName(asking), key, k)), k)
+
+
+def _searched(both: DataFrame, key: list[str], k: int) -> DataFrame:
+    """query_id, vec_id and score of each query's best of each block."""
+    placed = both.repartition(parts(both.sparkSession), *key[:4]).sortWithinPartitions(*key)
+    return placed.mapInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
