@@ -17,6 +17,12 @@ def test_cycles(spark):
     graph.check(edges, starts.filter("id = 6"))
 
 
+def test_long_cycle(spark):
+    edges = spark.createDataFrame([(i, "next", None, (i + 1) % 104) for i in range(104)], "parent int, field string, key string, child int").coalesce(1)
+    starts = spark.createDataFrame([(0,)], "id int").coalesce(1)
+    assert sorted(map(tuple, graph.cycles(edges, starts).collect())) == [(0, ".".join(["next"] * 104))]
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("a/b.c%d%2E",)], ["k"])
     row = df.select(graph.key_to_path(F.col("k")).alias("p"), graph.path_to_key(graph.key_to_path(F.col("k"))).alias("k")).first()

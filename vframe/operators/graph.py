@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vframe.errors import CircularReferenceError
+from vframe.sources.scratch import folder
 
 
 def step(path: Column, field: Column, key: Column | None = None) -> Column:
@@ -22,25 +23,35 @@ def step(path: Column, field: Column, key: Column | None = None) -> Column:
     return F.when(key.isNull(), named).otherwise(F.concat(named, index))
 
 
-def cycles(edges: DataFrame, starts: DataFrame, rounds: int = 100) -> DataFrame:
-    """start and path of each way from a start back to a record on it.
+def returns(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node, steps and path of each way from a start back to a record on it.
 
     ``edges`` has parent, field, key (null for a plain field) and child;
-    ``starts`` has id. Records that are shared, but not on their own path, are
-    no cycle.
+    ``starts`` has id. Walks go on until none is left: none passes a record
+    twice, so they end. Each round is written to the shared folder.
     """
+    spark, root = edges.sparkSession, folder(edges.sparkSession, "walks")
     walks = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("seen"), F.lit("").alias("path"))
-    found: DataFrame | None = None
-    for _ in range(rounds):
-        walks = walks.join(edges, walks["node"] == edges["parent"]).select(
-            "start", F.col("child").alias("node"), "seen", step(F.col("path"), F.col("field"), F.col("key")).alias("path")
+    rounds: list[str] = []
+    schema = None
+    while schema is None or not walks.isEmpty():
+        stepped = walks.join(edges, walks["node"] == edges["parent"]).select(
+            "start", F.col("child").alias("node"), "seen", step(F.col("path"), F.col("field"), F.col("key")).alias("path"), F.array_contains("seen", F.col("child")).alias("back")
         )
-        back = walks.filter(F.array_contains("seen", F.col("node"))).select("start", "path")
-        found = back if found is None else found.unionByName(back)
-        walks = walks.filter(~F.array_contains("seen", F.col("node"))).withColumn("seen", F.concat("seen", F.array("node")))
-        if walks.isEmpty():
-            break
-    return found
+        stepped = stepped.select("start", "node", F.size("seen").alias("steps"), F.when(F.col("back"), F.col("seen")).otherwise(F.concat("seen", F.array("node"))).alias("seen"), "path", "back")
+        rounds.append(f"{root}/{len(rounds)}")
+        stepped.write.parquet(rounds[-1])
+        schema = stepped.schema
+        walks = spark.read.schema(schema).parquet(rounds[-1]).filter(~F.col("back")).select("start", "node", "seen", "path")
+    return spark.read.schema(schema).parquet(*rounds).filter("back").select("start", "node", "steps", "path")
+
+
+def cycles(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start and path of each way from a start back to a record on it.
+
+    Records that are shared, but not on their own path, are no cycle.
+    """
+    return returns(edges, starts).select("start", "path")
 
 
 def check(edges: DataFrame, starts: DataFrame) -> None:

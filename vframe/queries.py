@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vframe.functions import codecs
-from vframe.operators import arrays, policy
+from vframe.operators import arrays, graph, policy
 from vframe.plans import nested
 from vframe.plans.migration import Context, Migration, migration
 from vframe.plans.record import RecordType, fingerprint, fingerprint_column
@@ -555,12 +555,9 @@ def session_list_setitem(spark, d):
 )
 def cycle_detect(spark, d):
     """Records that reach themselves, and in how many steps."""
-    _t(spark, d, "nation").selectExpr("n_nationkey AS a", "(n_nationkey * 7 + 3) % 25 AS b").createOrReplaceTempView("vframe_edges")
-    return spark.sql(
-        """WITH RECURSIVE w(start, node, depth) AS (SELECT a, b, 1 FROM vframe_edges UNION ALL
-        SELECT w.start, e.b, w.depth + 1 FROM w JOIN vframe_edges e ON w.node = e.a WHERE w.node <> w.start AND w.depth < 25)
-        SELECT cast(start AS bigint) AS start, cast(min(depth) AS bigint) AS depth FROM w WHERE node = start GROUP BY start"""
-    )
+    edges = _t(spark, d, "nation").selectExpr("n_nationkey AS parent", "'next' AS field", "cast(null AS string) AS key", "(n_nationkey * 7 + 3) % 25 AS child")
+    found = graph.returns(edges, edges.select(F.col("parent").alias("id"))).filter(F.col("node") == F.col("start"))
+    return found.groupBy(F.col("start").cast("bigint").alias("start")).agg(F.min("steps").cast("bigint").alias("depth"))
 
 
 def queries() -> dict[str, Query]:
