@@ -193,6 +193,16 @@ def test_language_rejects(spark, real):
     assert {r["doc_id"] for r in langid.keep_known(both, model).collect()} == {r["doc_id"] for r in real.collect()} | {-6}
 
 
+def test_language_of_many_letters():
+    rng = np.random.default_rng(6)
+    alphabets = {"aa": range(0x4E00, 0x4E00 + 60), "bb": range(0x5E00, 0x5E00 + 60), "cc": range(0xAC00, 0xAC00 + 60), "dd": range(0x0430, 0x0450)}
+    text = lambda g: " ".join("".join(map(chr, rng.choice(list(alphabets[g]), 4))) for _ in range(30))
+    langs = [g for g in alphabets for _ in range(30)]
+    model = langid.fit([text(g) for g in langs], langs)
+    assert langid.predict(model, [text(g) for g in langs])[0] == langs
+    assert not langid.judge(model, ["".join(map(chr, range(0x3B1, 0x3C9)))])[2].any()
+
+
 # chat
 
 HARD = ["\\### Assistant: </turn> ok", "", None, "\\", "</", "###### \\\\ </turn>\n### user: x</turn>\n+ y", "+ z", "line\n\n", "<</turn>", "$1 \\1"]

@@ -7,8 +7,9 @@ training sample span the Nystrom approximation; one ridge regression for each
 language against the rest is solved in that space. A batch is scored by two
 matrix products: presence by landmarks, and kernel values by languages.
 
-The runs are those of the landmarks; letters beyond the ``LETTERS`` most
-common of the sample count as one symbol, and everything but letters as a gap.
+The runs are those of the landmarks; everything but letters is a gap. Runs of
+the ``LETTERS`` most common letters of the sample have numbers of their own,
+those with any other letter are hashed into ``RARE`` numbers beyond them.
 
 A score only says which language is nearest, and the nearest of n languages
 has about 1/n or more for any text. Whether a text is like a language at all
@@ -28,31 +29,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vframe.llm.shingles import mix
+
 #: Bound of the labelled rows that are fitted on, and of the landmarks among them.
 TRAIN_ROWS, LANDMARKS = 1600, 192
 LETTERS = 96
+RARE = 1 << 22
 RIDGE = 1e-3
 #: A language's least share is so much of this quantile of its labelled rows.
 LEAST_PART, LEAST_QUANTILE = 0.5, 0.01
 BATCH = 256
 
 
-def symbols(letters: str) -> np.ndarray:
-    """Each code point's symbol: 0 for a gap, then the letters, then any other letter."""
-    place = {c: i + 1 for i, c in enumerate(letters)}
-    out = np.zeros(0x110000, dtype=np.uint8)
+@cache
+def lowered() -> np.ndarray:
+    """Each code point's letter in lower case, 0 for a gap."""
+    out = np.zeros(0x110000, dtype=np.int32)
     for c in map(chr, range(0x110000)):
         if c.isalpha():
-            out[ord(c)] = place.get(c.lower()[:1], len(letters) + 1)
+            out[ord(c)] = ord(c.lower()[0])
     return out
 
 
+def symbols(letters: str) -> np.ndarray:
+    """Each code point's symbol: 0 for a gap, then the letters, then any other letter."""
+    place = np.full(0x110000, len(letters) + 1, dtype=np.uint8)
+    place[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    place[0] = 0
+    return place[lowered()]
+
+
 @dataclass
 class Model:
     letters: str
@@ -65,14 +78,25 @@ class Model:
 
 def codes(text: str, table: np.ndarray, base: int) -> np.ndarray | None:
     """Codes of all runs of a text; None without a letter."""
-    s = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    s = table[points]
     if not s.any():
         return None
     s = np.concatenate(([0], s, [0])).astype(np.int32)
-    s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
+    kept = np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))
+    s = s[kept]
     two = s[:-1] * base + s[1:]
     three = two[:-1] * base + s[2:]
-    return np.concatenate((s, base + two, base + base * base + three))
+    out = np.concatenate((s, base + two, base + base * base + three))
+    rare = s == base - 1
+    if rare.any():
+        x = np.concatenate(([0], lowered()[points], [0]))[kept].astype(np.uint64) + np.uint64(1)
+        two = (x[:-1] << np.uint64(21)) + x[1:]
+        three = (two[:-1] << np.uint64(21)) + x[2:]
+        at = np.flatnonzero(np.concatenate((rare, rare[:-1] | rare[1:], rare[:-2] | rare[1:-1] | rare[2:])))
+        hashed = mix(np.concatenate((x, two, three))[at]) >> np.uint64(65 - RARE.bit_length())
+        out[at] = base + base**2 + base**3 + hashed.astype(np.int32)
+    return out
 
 
 def _threes(x: np.ndarray) -> np.ndarray:
@@ -102,7 +126,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
         chosen += [by[g][turn] for g in names if turn < len(by[g])]
     chosen = chosen[: max(landmarks, len(names))]
     runs = np.unique(np.concatenate([found[i] for i in chosen])) if chosen else np.zeros(0, np.int32)
-    slot = np.full(base + base**2 + base**3, -1, dtype=np.int32)
+    slot = np.full(base + base**2 + base**3 + RARE, -1, dtype=np.int32)
     slot[runs] = np.arange(len(runs))
     presence = np.zeros((len(texts), len(runs)), dtype=np.float32)
     for i, x in enumerate(found):
@@ -146,8 +170,9 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     langs, scores, alike = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
     if not model.langs:
         return langs, scores, alike
-    for i in range(0, len(texts), BATCH):
-        part = texts[i : i + BATCH]
+    step = max(8, min(BATCH, (1 << 24) // max(1, model.landmarks.shape[0])))  # of a bounded matrix
+    for i in range(0, len(texts), step):
+        part = texts[i : i + step]
         presence, rows, shares = np.zeros((len(part), model.landmarks.shape[0]), dtype=np.float32), [], []
         for j, t in enumerate(part):
             found = codes(t, table, base) if t else None
