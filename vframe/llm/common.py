@@ -55,15 +55,17 @@ class Scratch:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, actions hand Python workers Arrow batches of so many rows, where rows may be large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+def batch_rows(spark: SparkSession, rows: int, size: int = 16 << 20) -> Iterator[None]:
+    """Within it, actions hand Python workers Arrow batches of so many rows and bytes at most, where rows may be large."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def parts(spark: SparkSession) -> int:

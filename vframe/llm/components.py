@@ -1,9 +1,10 @@
 """Distributed connected components by alternating large and small stars.
 
 Every round joins nodes to the least neighbour they know, with a partial
-aggregation before each shuffle and a plain equi-join whose hot keys adaptive
-execution may split. Rounds are cut by tables in the shared folder. Nothing
-but one row of counts goes to the driver.
+aggregation before each shuffle, written before a plain equi-join whose hot
+keys adaptive execution may then split. Rounds are cut by tables in the shared
+folder. Nothing but one row of counts goes to the driver. Without edges the
+result is empty; a null id is no edge.
 """
 
 from __future__ import annotations
@@ -37,11 +38,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
         # large star: every larger neighbour goes to the least of the neighbourhood
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: a node and its smaller neighbours go to the least of them
         large = scratch.table(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.table(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
