@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -44,16 +45,50 @@ def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
 
+def encoded(own, texts):
+    return [x.tolist() for _, _, ids, n in own.encode(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_is_exact(name):
     path = public_tokenizers.path(name)
     own, plain = encoding.Encoder(path), Tokenizer.from_file(path)
     texts = [t or "" for t in TEXTS] + ["abc, def. ghi", "İstanbul ẞ ΌΣΟΣ.", "́a ,,x..", "don't; we'll"]
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(t.encode() for t in texts)] == want
+    assert encoded(own, texts) == want
     assert own.by_word == (name == "word_bpe_49k.json")
 
 
+def test_encoder_cuts_marks_only_where_the_library_does():
+    texts = [c + mark for c in map(chr, range(0x110000)) if c.isalpha() for mark in ".,;:!?|"]
+    texts += ["DİYARBAKIRİ.", "H̱, T̈. ẖ", "aé́,", "x<|endoftext|>. <|ENDOFTEXT|>,"]
+    own, plain = encoding.Encoder(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    want = [e.ids for i in range(0, len(texts), 20_000) for e in plain.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+    assert encoded(own, texts) == want
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(encoding, "MAX_WORDS", 50)
+    monkeypatch.setattr(encoding, "SLICE_BYTES", 300)
+    own = encoding.Encoder(WORD_BPE)
+    texts = [" ".join(f"w{'ab'[i % 2] * (j % 7)}{chr(97 + (i * j) % 26)}." for j in range(30)) for i in range(40)] + ["y" * 500] * 2
+    assert encoded(own, texts) == [ids_of(t) for t in texts] and len(own.place) < 200
+
+
+def test_token_store_of_a_frequent_id(spark):
+    rows = [(7, f"word {i} of many") for i in range(60)] + [(i, f"single {i}") for i in range(20)] + [(None, f"no id {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = Scratch(spark).path("t")
+    token_store.write_tokens(docs, path, WORD_BPE, 1, shards=8)
+    stored = token_store.read_tokens(spark, path)
+    got = [tuple(r) for r in stored.select("start", "doc_id", "n_tokens", "ids", "shard").orderBy("start").collect()]
+    assert [r[1] for r in got] == [None] * 30 + sorted(r[0] for r in rows if r[0] is not None)
+    assert sorted(r[3][:-1] for r in got) == sorted(ids_of(t) for _, t in rows)
+    ends = np.cumsum([r[2] for r in got]).tolist()
+    assert [r[0] for r in got] == [0, *ends[:-1]]
+    assert len({r[4] for r in got if r[1] == 7}) > 1 and len({r[4] for r in got if r[1] is None}) > 1
+
+
 def test_token_store(spark, docs):
     path = Scratch(spark).path("t")
     token_store.write_tokens(docs, path, WORD_BPE, 1, shards=3)
@@ -144,6 +179,57 @@ def test_deal():
     assert (mixing.deal(quotas, 7, 1) == out).all()
 
 
+def test_schedule():
+    words = np.array([100, 0, 50, 70, 80])
+    for target in (0, 0.4, 1, 49, 150, 299, 300, 301, 455.5, 600):
+        plan = mixing.schedule(words, target, (1, 2))
+        drawn = [int(words[p].sum()) for p in plan.passes]
+        assert all(len(set(p.tolist())) == len(p) for p in plan.passes) and all(n == 300 for n in drawn[:-1])
+        if plan.cut:
+            assert plan.passes[-1][-1] == plan.cut[0] and sum(drawn) - words[plan.cut[0]] + plan.cut[1] == pytest.approx(target)
+        else:
+            assert sum(drawn) == pytest.approx(target, abs=0.5)
+
+
+def test_mix_is_what_the_drawn_blocks_hold(spark, real):
+    each, shards = 150, 5
+    key = F.xxhash64(F.lit(17), "doc_id", "text")
+    rows = mixing.mix(real, block_words=each, shards=shards).withColumn("k", key).withColumn("h", F.xxhash64(key, F.lit("block"))).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["source"]] = sizes.get(r["source"], 0) + r["size"]
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal, plans = mixing.targets(sizes), []
+    for k, s in enumerate(names):
+        words = np.zeros(max(1, -(-sizes[s] // each)), dtype=np.int64)
+        for r in rows:
+            if r["source"] == s:
+                words[r["h"] % len(words)] += r["size"]
+        plans.append((words, mixing.schedule(words, goal[s], (17, k))))
+    dealt = mixing.shards_of([p for _, p in plans], shards, 17)
+    quotas = np.array([p.quota for _, p in plans])
+    assert (np.array([np.bincount(d, minlength=shards) for d in dealt]).T == mixing.deal(quotas, shards, 17)).all() and len(quotas) > 3
+    for s, (words, plan), to in zip(names, plans, dealt, strict=True):
+        draws = list(zip(np.concatenate(plan.passes).tolist(), to.tolist(), strict=True))
+        cut = draws.pop() if plan.cut else (None, None)
+        part = []
+        for r in (r for r in rows if r["source"] == s):
+            whole = [shard for b, shard in draws if b == r["h"] % len(words) and r["size"]]
+            extra = list(r["shards"])
+            for shard in whole:
+                extra.remove(shard)
+            assert extra in ([], [cut[1]]) and (not extra or r["h"] % len(words) == cut[0]) and r["taken"] == r["copies"] * r["size"] == len(r["shards"]) * r["size"]
+            if r["h"] % len(words) == cut[0] and r["size"]:
+                part.append((r["k"], r["size"], bool(extra)))
+        if plan.cut:
+            part.sort()
+            room, held = plan.cut[1], np.concatenate(([0], np.cumsum([n for _, n, _ in part])))
+            prefix = min(range(len(held)), key=lambda i: (abs(held[i] - room), i))
+            ways = [{*range(prefix)}] + [{*range(prefix)} ^ {i} for i in range(len(part))]
+            best = min(abs(sum(part[i][1] for i in w) - room) for w in ways)
+            assert abs(sum(n for _, n, x in part if x) - room) == pytest.approx(best)
+
+
 def test_mix(spark, docs, real):
     rows = mixing.mix(real).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in real.collect())
@@ -158,6 +244,9 @@ def test_mix(spark, docs, real):
     assert mixing.emit(mixing.mix(real)).count() == sum(r["copies"] for r in rows)
     assert {r["size"] for r in mixing.mix(docs).collect()} == {len(re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode())) for t in TEXTS}
     assert mixing.mix(empty(docs)).count() == 0
+    again = mixing.mix(docs.unionAll(docs)).collect()  # repeated rows are documents of their own, taken alike
+    assert len(again) == 2 * len(TEXTS) and len({(r["doc_id"], r["taken"]) for r in again}) == len(TEXTS)
+    assert mixing.emit(mixing.mix(docs)).columns == [*(c for c in docs.columns if c != "size"), "copy", "shard"]
 
 
 # language

@@ -1,100 +1,201 @@
 """Exact word-memoised encoding with a ``tokenizers`` file.
 
-A tokenizer that drops white space and treats each white-space-delimited
-chunk alone gives the same ids for a text as for its chunks in turn. For such
-files each distinct chunk is encoded once for a worker and its ids are kept;
-other files encode whole texts. Either way the ids come from the library.
+A tokenizer that drops white space and looks at each white-space-delimited
+chunk alone gives the same ids for a text as for its chunks in turn; whether
+it does is read from the file's normalizer and pre-tokenizer. For such files
+Arrow splits a slice of texts into chunks and numbers the distinct ones, only
+these are looked up among the chunks that a worker has met, and numpy gathers
+the ids. Chunks that are met for the first time are encoded by the library.
+Other files encode whole texts. Either way the ids come from the library.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterable, Iterator
+import json
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Entries kept by a worker; all are dropped when there are more.
-MAX_WORDS = 700_000
+#: Chunks kept by a worker; beyond it those met least are dropped.
+MAX_WORDS = 400_000
 #: Longer chunks are encoded but not kept.
 MAX_WORD_BYTES = 64
-#: Text held as words at a time.
-SLICE_BYTES = 2_000_000
+#: Bytes of text, or a single text, that are encoded together.
+SLICE_BYTES = 4_000_000
+#: Marks that are taken off a chunk's end.
+MARKS = b".,;:!?|"
 
-_PROBES = (
-    "One two  three\nfour\tfive\r\nsix",
-    " \x0b lead and trail \x0c ",
-    "isn't we're 42 7a x1y2 !!! ...a,b;c",
-    "Été naïve été ́x 你好世界 ßİ",
-    "a <|endoftext|> b<|endoftext|>c <|startoftext|>",
-)
+# Parts of tokenizer files under which chunks are independent.
+_SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, _SPACES)
+_SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
 
 
-def _cut(word: bytes) -> tuple[bytes, bytes]:
-    letters = word.rstrip(b".,;:!?|")
-    return letters, word[len(letters) :]
+def _parts(step: dict | None, name: str) -> list[dict]:
+    if step is None:
+        return []
+    return step[name] if step["type"] == "Sequence" else [step]
+
+
+def by_chunk(file: dict) -> bool:
+    """Whether a tokenizer file encodes each white-space-delimited chunk alone and drops white space."""
+    normal = _parts(file["normalizer"], "normalizers")
+    split = [{k: v for k, v in s.items() if k != "trim_offsets"} for s in _parts(file["pre_tokenizer"], "pretokenizers")]
+    return (
+        all(s in _NORMALIZERS for s in normal)
+        and len(split) == 2
+        and split[0] in [{"type": "Split", "pattern": {"Regex": p}, "behavior": "Removed", "invert": True} for p in _SPLITS]
+        and split[1] == _BYTES
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or any(map(str.isspace, t["content"])) for t in file["added_tokens"])
+        and not file["truncation"]
+        and not file["padding"]
+    )
+
+
+def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` one after another."""
+    end = np.cumsum(length)
+    return values[np.repeat(start - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
 
 
 class Encoder:
-    """Encodes texts, given as UTF-8 bytes, to little-endian unsigned 32-bit ids."""
+    """Encodes texts to unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
-        self.by_word = all(self._whole([p.encode()])[0] == b"".join(self._whole(p.encode().split())) for p in _PROBES)
-        ends = [b"abc,", "été.".encode(), b"x.,;:!?", b"on|"]
-        self.splits = self.by_word and all(self._whole([w])[0] == b"".join(self._whole(list(_cut(w)))) for w in ends)
-        self.folds = self.by_word and all(self._whole([p.encode()]) == self._whole([p.encode().lower()]) for p in _PROBES)
-
-    def _whole(self, texts: list[bytes]) -> list[bytes]:
-        if not texts:
-            return []
+        file = json.loads(self.tokenizer.to_str())
+        self.by_word = by_chunk(file)
+        self.folds = {"type": "Lowercase"} in _parts(file["normalizer"], "normalizers")
+        model = file["model"]
+        suffix = model.get("end_of_word_suffix") if model["type"] == "BPE" and not model.get("dropout") else None
+        vocabulary = model["vocab"] if suffix else {}
+        #: of each id, whether it ends a word: with such a mark, words of letters can be encoded in one text
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.last: dict[str, bool] = {}
+        self.place: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, dtype="<u4")
+        self.start, self.length, self.met = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+        self.used = 0  # of ids
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _slice(self, texts: list[bytes]) -> Iterator[bytes]:
-        # a special token's text is matched before letters are folded
-        docs = [(t.lower() if self.folds and b"<|" not in t else t).split() for t in texts]
-        kept = self.kept
-        missing: set[bytes] = set()
-        for words in docs:
-            missing.update(itertools.filterfalse(kept.__contains__, words))
-        if len(kept) + len(missing) > MAX_WORDS:
-            kept.clear()
-            missing = set(itertools.chain.from_iterable(docs))
-        once, cut = [], []
-        if self.splits:  # letters before punctuation are encoded apart, once for all that may follow
-            cut = [(w, *x) for w in missing if (x := _cut(w))[1] and x[0].decode("utf-8", "replace").isalpha()]
-            missing.difference_update(w for w, _, _ in cut)
-            missing.update(x for _, *both in cut for x in both if x not in kept)
-        fresh = list(missing)
-        for i in range(0, len(fresh), 4096):
-            group = fresh[i : i + 4096]
-            for word, ids in zip(group, self._whole(group), strict=True):
-                kept[word] = ids
-                if len(word) > MAX_WORD_BYTES:
-                    once.append(word)
-        for word, letters, rest in cut:
-            kept[word] = kept[letters] + kept[rest]
-            if len(word) > MAX_WORD_BYTES:
-                once.append(word)
-        for words in docs:
-            yield b"".join(map(kept.__getitem__, words))
-        for word in once:
-            kept.pop(word, None)
-
-    def encode(self, texts: Iterable[bytes | None]) -> Iterator[bytes]:
-        """Ids of each text in turn; a null text is an empty one."""
-        run = self._slice if self.by_word else lambda x: iter(self._whole(x))
-        held: list[bytes] = []
-        n = 0
-        for text in texts:
-            held.append(text or b"")
-            n += len(held[-1])
-            if n >= SLICE_BYTES or len(held) >= 2000:
-                yield from run(held)
-                held, n = [], 0
-        yield from run(held)
+        ids = [e.ids for e in found]
+        return np.array([i for x in ids for i in x], dtype="<u4"), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _letter(self, c: str) -> bool:
+        """Whether a mark after this letter is cut from it, whatever is before: not where it is decomposed."""
+        if c not in self.last:
+            text = self.tokenizer.normalizer.normalize_str(f"a{c}.") if self.tokenizer.normalizer else f"a{c}."
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(text)
+            self.last[c] = c.isalpha() and len(pieces) == 2 and pieces[1][0] == "."
+        return self.last[c]
+
+    def _letters(self, word: bytes) -> bool:
+        """Whether a word is one run of letters, however it is normalized."""
+        return word.isalpha() if word.isascii() else all(map(self._letter, word.decode("utf-8", "replace")))
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of chunks, in turn; words of letters go together in texts of many."""
+        if not self.ends.any():
+            return self._whole(words)
+        plain = np.fromiter(map(self._letters, words), dtype=bool, count=len(words))
+        own = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
+        texts = [b" ".join(own[i : i + 256]) for i in range(0, len(own), 256)]
+        ids, _ = self._whole(texts)
+        end = np.flatnonzero(self.ends[ids]) + 1
+        if len(end) != len(own):  # a letter that is unknown to one of the two
+            return self._whole(words)
+        other, n_other = self._whole([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
+        start, length = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        start[plain], length[plain] = np.concatenate(([0], end[:-1])), np.diff(end, prepend=0)
+        start[~plain], length[~plain] = len(ids) + np.cumsum(n_other) - n_other, n_other
+        return gathered(np.concatenate((ids, other)), start, length), length
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        n, low = len(words), len(self.place)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while low + n > len(self.start):
+            self.start, self.length, self.met = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.met))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[low : low + n] = self.used + np.cumsum(length) - length
+        self.length[low : low + n] = length
+        self.met[low : low + n] = 0
+        self.place.update(zip(words, range(low, low + n), strict=True))
+        self.used += len(ids)
+
+    def _add(self, words: list[bytes]) -> None:
+        """Learns distinct chunks: from their parts, of which those met for the first time are encoded."""
+        both = [x for w in words for x in self._cut(w)]
+        if fresh := list(dict.fromkeys(x for x in both if x not in self.place)):
+            self._keep(fresh, *self._words(fresh))
+        at = np.fromiter(map(self.place.__getitem__, both), dtype=np.int64, count=len(both)).reshape(-1, 2)
+        left = np.array([w not in self.place for w in words], dtype=bool)
+        at, rest = at[left], [w for w, x in zip(words, left.tolist(), strict=True) if x]
+        self._keep(rest, gathered(self.ids, self.start[at.ravel()], self.length[at.ravel()]), self.length[at].sum(axis=1))
+
+    def _forget(self) -> None:
+        """Keeps the half of the chunks that were met most, none of them long."""
+        n = len(self.place)
+        size = np.fromiter(map(len, self.place), dtype=np.int64, count=n)
+        order = np.argsort(np.where(size > MAX_WORD_BYTES, -1, self.met[:n]), kind="stable")[-(MAX_WORDS // 2) :]
+        order = np.sort(order[size[order] <= MAX_WORD_BYTES])
+        words = list(self.place)
+        start, length = self.start[order], self.length[order]
+        kept = gathered(self.ids, start, length)
+        self.ids[: len(kept)], self.used = kept, len(kept)
+        self.length[: len(order)], self.start[: len(order)] = length, np.cumsum(length) - length
+        self.met[: len(order)] = self.met[order] // 2
+        self.place = {words[k]: i for i, k in enumerate(order.tolist())}
+
+    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """A chunk in two that are encoded alike apart, or a whole one and nothing."""
+        if self.folds and word.isascii() and b"<|" not in word:  # a special token's text is matched before letters are folded
+            word = word.lower()
+        left = word.rstrip(MARKS)
+        if not left or len(left) == len(word) or not self._letters(left):
+            return word, b""
+        return left, word[len(left) :]
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        code, distinct = np.asarray(chunks.indices), chunks.dictionary.cast(pa.binary()).to_pylist()
+
+        def places() -> np.ndarray:
+            return np.fromiter(map(self.place.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+
+        at = places()
+        if (at < 0).any():
+            if len(self.place) + int((at < 0).sum()) > MAX_WORDS and self.place:
+                self._forget()
+                at = places()
+            self._add([distinct[i] for i in np.flatnonzero(at < 0)])
+            at = places()
+        self.met[at] += 1
+        start, length = self.start[at[code]], self.length[at[code]]
+        end = np.concatenate(([0], np.cumsum(length)))[np.cumsum(np.concatenate(([0], pc.list_value_length(split).to_numpy())))]
+        return gathered(self.ids, start, length), np.diff(end)
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, row after the last, ids, their number for each row) of slices of a
+        string column in turn; a null text is an empty one."""
+        column = pc.fill_null(column, "")
+        size = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < len(column):
+            done = int(size[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(size, done + SLICE_BYTES, side="right")))
+            part = column.slice(low, high - low)
+            yield (low, high, *(self._slice(part) if self.by_word else self._whole(part.cast(pa.binary()).to_pylist())))
+            low = high
 
 
 _ENCODERS: dict[str, Encoder] = {}

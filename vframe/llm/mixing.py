@@ -1,13 +1,18 @@
 """Mixing sources to target weights with a splitting tree.
 
-Each source's documents are put in a keyed random order and numbered by the
-words before them, which cuts the source into blocks of about equal size. A
-source gives whole passes over its blocks and then the first blocks of one
-more, up to its target. The number of blocks that each source gives is exact;
-a binary tree deals these quotas to output shards, drawing at each node from
-the multivariate hypergeometric distribution how many blocks of each source
-go left. A shard then takes its own range of each source's permuted blocks
-and orders its rows by a keyed hash.
+Each source's documents are dealt to blocks by a keyed hash, whole, so that a
+block holds ``block_words`` words or so. A source gives its blocks in passes,
+each in an order of its own: whole passes and then the first blocks of one
+more, up to its target; the last block is cut there. How many blocks each
+source gives, its quota, is so exact, and a binary tree deals these quotas to
+the output shards, drawing at each node from the multivariate hypergeometric
+distribution how many blocks of each source go left. A shard then takes its
+own range of each source's permuted blocks: no draw is in two shards and none
+is left over. Rows of a shard are ordered by a keyed hash.
+
+Of the block that is cut, documents are taken in the order of their hash up to
+the place nearest to the target, and then one more changes sides if that comes
+nearer; documents that are equal in hash and text go together.
 
 Defined cases: a null source is a source of its own, last in order; a null or
 blank text has size 0 and is never taken; rows with the same id are separate
@@ -17,21 +22,22 @@ those named like the operator's own, which are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vframe.llm.common import Scratch, parts
 
-#: Rows, of about 200 bytes, that a table about sources may have to be broadcast.
-BROADCAST_ROWS = 50_000
+#: Blocks of all sources together; above it, blocks hold more words than asked for.
+MAX_BLOCKS = 1 << 16
+#: Rows, of about 100 bytes, that a table of sources or blocks may have to be broadcast.
+BROADCAST_ROWS = 200_000
 WORD = r"[^\x20\x09-\x0D]+"
-OWN = ("size", "source_size", "target", "copies", "taken", "shards", "_key", "_part", "_before", "_s", "_p", "_offset", "_whole", "_rest", "_blocks", "_ends", "_at", "_m", "_miss", "_w", "_swap", "_draws")
+OWN = ("size", "source_size", "target", "copies", "taken", "shards", "_key", "_block", "_blocks", "_s", "_b", "_draws", "_cut", "_upto", "_swap")
 
 
 def word_count(text: Column) -> Column:
@@ -39,6 +45,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def in_order(sources) -> list[str | None]:
+    """By code point, null last."""
+    return sorted(sources, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+
+
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> dict[str | None, float]:
     """Words wanted of each source.
 
@@ -46,7 +57,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (3, 1, 2),
     target is above ``cap`` times the source; what that leaves over goes to
     the others by weight until none is above.
     """
-    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    names = in_order(sizes)
     weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
     room, open_, found = share * sum(sizes.values()), list(names), {}
     while open_:
@@ -81,28 +92,53 @@ def deal(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _running(at_source: int, at_size: int, schema: pa.Schema | None = None):
-    """Adds this partition's number and the words before each row in its source."""
+@dataclass
+class Schedule:
+    """What a source gives."""
+
+    passes: list[np.ndarray]  #: the blocks of each pass, in order
+    cut: tuple[int, float] | None  #: the last block, if it is cut, and the words to take of it
+
+    @property
+    def quota(self) -> int:
+        return sum(map(len, self.passes))
+
+
+def schedule(words: np.ndarray, target: float, seed: Sequence[int]) -> Schedule:
+    """Draws blocks that hold so many ``words`` each, pass after pass, up to ``target``."""
+    passes, left, cut = [], float(target), None
+    while left >= 0.5 and (total := int(words.sum())):
+        order = np.random.default_rng([*seed, len(passes)]).permutation(len(words))
+        held = np.cumsum(words[order])
+        if total <= left:
+            passes.append(order)
+            left -= total
+            continue
+        last = int(np.searchsorted(held, left))  # the first block that reaches what is left
+        passes.append(order[: last + 1])
+        if held[last] > left:
+            cut = (int(order[last]), left - float(held[last] - words[order[last]]))
+        break
+    return Schedule(passes, cut)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, source, before = TaskContext.get().partitionId(), None, 0
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            codes = b.column(at_source).dictionary_encode(null_encoding="encode")
-            code, values = np.asarray(codes.indices), codes.dictionary.to_pylist()
-            size = np.asarray(b.column(at_size))
-            total = np.cumsum(size) - size
-            first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
-            base = np.repeat(total[first], np.diff(np.append(first, n)))
-            own = total - base
-            if values[code[0]] == source:  # goes on from the last batch
-                own[: first[1] if len(first) > 1 else n] += before
-            source, before = values[code[-1]], int(own[-1] + size[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(own)], names=[*b.schema.names, "_part", "_before"])
 
-    return run
+def shards_of(schedules: Sequence[Schedule], shards: int, seed: int) -> list[np.ndarray]:
+    """The shard of each draw of each source, in the order of its passes."""
+    ends = np.cumsum(deal(np.array([s.quota for s in schedules], dtype=np.int64), shards, seed), axis=0)
+    return [np.searchsorted(ends[:, k], np.arange(s.quota), side="right") for k, s in enumerate(schedules)]
+
+
+def _boundary(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a source's block that is cut: the last hash that is taken, and the hash that changes sides."""
+    each = rows.groupby("_key", sort=True)["size"].sum()
+    key, size, room = each.index.to_numpy(), each.to_numpy(), float(rows["_room"].iloc[0])
+    held = np.concatenate(([0], np.cumsum(size)))
+    upto = int(np.abs(held - room).argmin())
+    miss = room - held[upto]
+    other = np.arange(upto, len(key)) if miss > 0 else np.arange(upto)
+    off = np.abs(abs(miss) - size[other])
+    swap = int(other[off.argmin()]) if len(other) and off.min() < abs(miss) else None
+    return pd.DataFrame({"source": rows["source"].iloc[:1], "upto": [key[upto - 1] if upto else None], "swap": [None if swap is None else key[swap]]}).astype({"upto": "Int64", "swap": "Int64"})
 
 
 def mix(
@@ -121,13 +157,13 @@ def mix(
     copies, taken and shards, the output shard of each copy.
 
     ``size`` and ``key`` name columns that hold the words of a document and a
-    hash that tells documents apart; without them, both come from the text.
+    hash that tells documents apart, if they are stored already; without them,
+    both come from the text and are written once.
 
-    A document is taken whole, so a source's words miss its target by half its
-    document at the boundary at most; the document whose size comes nearest to
-    the miss then changes sides. Through the driver go one row for each source
-    and for each source in a shuffle partition; both are bounded by the
-    mixture's sources and the partitions, not by the documents.
+    A document is taken whole, so a source's words miss its target by half a
+    document at most. Through the driver go a row for each source and for each
+    block, of which there are ``MAX_BLOCKS`` besides one for each source at
+    most, whatever the table's size.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -135,66 +171,58 @@ def mix(
     words = F.coalesce(F.col(size).cast("bigint"), F.lit(0)) if size else word_count(F.col("text"))
     tie = F.xxhash64(F.lit(seed), *([key] if key else ["doc_id", "text"]))
     rows = docs.select(*(c for c in kept if c != "source"), F.col("source").cast("string").alias("source"), words.alias("size"), tie.alias("_key"))
-    ranged = rows.repartitionByRange(parts(spark), "source", "_key", "size").sortWithinPartitions("source", "_key", "size")
-    schema = T.StructType([*ranged.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_before", T.LongType())])
-    names = ranged.columns
-    placed = scratch.table(ranged.mapInArrow(_running(names.index("source"), names.index("size")), schema), "placed")
-    found = placed.groupBy("source", "_part").agg(F.sum("size").alias("n")).collect()
-    sizes: dict[str | None, int] = {}
-    offsets = []
-    for source, part, n in sorted(found, key=lambda r: (r[0] or "", r[0] is None, r[1])):
-        offsets.append((source, part, sizes.get(source, 0)))
-        sizes[source] = sizes.get(source, 0) + n
-    goal = targets(sizes, weights, share, cap)
-    quotas, plan = [], []
-    for s, n in sizes.items():
-        whole = min(int(goal[s] // n), int(cap)) if n else 0
-        rest = goal[s] - whole * n
-        blocks = -(-n // block_words)
-        quotas.append(whole * blocks + (int(rest // block_words) + 1 if rest > 0 else 0))
-        plan.append((s, n, goal[s], whole, float(rest), blocks))
-    dealt = np.cumsum(deal(np.array(quotas, dtype=np.int64), shards, seed), axis=0) if quotas else np.zeros((0, 0))
-    of = {row[0]: (*row[1:], [int(x) for x in dealt[:, k]]) for k, row in enumerate(plan)}
+    sized = rows.select("source", "size", "_key")
+    sized = sized if size and key else scratch.table(sized, "sized")
 
     def small(rows: list[tuple], schema: str) -> DataFrame:
         """A table of the driver's; broadcast if it is as small as mixtures are."""
         df = spark.createDataFrame(rows, schema)
         return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
-    by = small(
-        [(s, part, before, *of[s]) for s, part, before in offsets],
-        "_s string, _p int, _offset bigint, source_size bigint, target double, _whole int, _rest double, _blocks bigint, _ends array<bigint>",
-    )
-    out = placed.join(by, (F.col("_part") == F.col("_p")) & F.col("source").eqNullSafe(F.col("_s")))
-    out = out.withColumn("_at", F.col("_offset") + F.col("_before"))
-    at, some = F.col("_at"), F.col("size") > 0
-    again = some & (at + F.col("size") / 2 <= F.col("_rest"))
-    got = dict(out.groupBy("source").agg(F.sum(F.when(again, F.col("size")).otherwise(0))).collect())
-    miss = {s: rest - got[s] for s, _, _, _, rest, _ in plan if s in got}
-    # one document of the source in or out of the last pass, if that comes nearer
-    misses = small(list(miss.items()), "_m string, _miss double")
-    near = out.filter(some).join(misses, F.col("source").eqNullSafe(F.col("_m")))
-    near = near.filter(F.when(F.col("_miss") > 0, ~again).otherwise(again))
-    off = F.abs(F.abs("_miss") - F.col("size"))
-    near = near.groupBy("source").agg(F.min(F.struct(off.alias("off"), "_at")).alias("best"), F.first("_miss").alias("miss"))
-    swaps = [(r["source"], r["best"]["_at"]) for r in near.collect() if r["best"]["off"] < abs(r["miss"])]
-    swapped = small(swaps, "_w string, _swap bigint")
-    out = out.join(swapped, F.col("source").eqNullSafe(F.col("_w")), "left")
-    again = again != (some & F.col("_at").eqNullSafe(F.col("_swap")))
-    block = F.floor(at / block_words).cast("bigint")
-    draws = F.filter(
-        F.transform(F.sequence(F.lit(0), F.col("_whole")), lambda i: F.when((i < F.col("_whole")) & (F.col("size") > 0) | (i == F.col("_whole")) & again, i * F.col("_blocks") + block)),
-        lambda x: x.isNotNull(),
-    )
-    out = out.withColumn("_draws", draws).withColumn("copies", F.size("_draws").cast("int"))
-    shard = F.transform("_draws", lambda d: F.least(F.size(F.filter("_ends", lambda e: e <= d)), F.lit(shards - 1)).cast("int"))
-    return out.select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), shard.alias("shards"))
+    def in_blocks(docs: DataFrame) -> DataFrame:
+        of = F.col("source").eqNullSafe(F.col("_s"))
+        return docs.join(by, of).withColumn("_block", F.pmod(F.xxhash64("_key", F.lit("block")), F.col("_blocks")).cast("int"))
+
+    sizes = {s: int(n) for s, n in sized.groupBy("source").agg(F.sum("size")).collect()}
+    goal = targets(sizes, weights, share, cap)
+    each = max(block_words, -(-sum(sizes.values()) // MAX_BLOCKS))
+    names = in_order(goal)
+    blocks = {s: max(1, -(-sizes[s] // each)) for s in names}
+    by = small([(s, sizes[s], float(goal[s]), blocks[s]) for s in names], "_s string, source_size bigint, target double, _blocks bigint")
+    held = {s: np.zeros(blocks[s], dtype=np.int64) for s in names}
+    for s, b, n in in_blocks(sized).groupBy("source", "_block").agg(F.sum("size")).collect():
+        held[s][b] = n
+    plans = [schedule(held[s], goal[s], (seed, k)) for k, s in enumerate(names)]
+    dealt = shards_of(plans, shards, seed)
+    cuts = small([(s, *p.cut) for s, p in zip(names, plans, strict=True) if p.cut], "_c string, _b int, _room double")
+    inside = in_blocks(sized).filter("size > 0").join(cuts, F.col("source").eqNullSafe(F.col("_c")) & (F.col("_block") == F.col("_b")))
+    edge = inside.select("source", "_key", "size", "_room").groupBy("source").applyInPandas(_boundary, "source string, upto bigint, swap bigint")
+    edges = {r["source"]: (r["upto"], r["swap"]) for r in edge.collect()}
+    table = []
+    for s, plan, shard in zip(names, plans, dealt, strict=True):
+        draws: dict[int, list[int]] = {}
+        order = np.concatenate(plan.passes).tolist() if plan.passes else []
+        for b, to in zip(order, shard.tolist(), strict=True):
+            draws.setdefault(b, []).append(to)
+        last = draws[plan.cut[0]].pop() if plan.cut else None
+        for b, to in draws.items():
+            cut = plan.cut is not None and b == plan.cut[0]
+            table.append((s, b, to, last if cut else None, *(edges.get(s, (None, None)) if cut else (None, None))))
+    plan = small(table, "_p string, _b int, _draws array<int>, _cut int, _upto bigint, _swap bigint")
+    out = in_blocks(rows).join(plan, F.col("source").eqNullSafe(F.col("_p")) & (F.col("_block") == F.col("_b")), "left")
+    upto, swap = F.coalesce(F.col("_key") <= F.col("_upto"), F.lit(False)), F.col("_key").eqNullSafe(F.col("_swap"))
+    none = F.array().cast("array<int>")
+    shard = F.concat(F.coalesce("_draws", none), F.when(F.col("_cut").isNotNull() & (upto != swap), F.array("_cut")).otherwise(none))
+    shard = F.when(F.col("size") > 0, shard).otherwise(none)
+    out = out.withColumn("shards", shard).withColumn("copies", F.size("shards"))
+    return out.select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "shards")
 
 
 def emit(mixed: DataFrame, seed: int = 17, partitions: int | None = None) -> DataFrame:
-    """One row for each copy, in its output shard's partition and shuffled there.
+    """One row for each copy, with ``copy`` (from 0) and ``shard``; the plan's own columns go.
 
-    Adds ``copy`` (from 0) and ``shard``; the plan's own columns go.
+    A shard's rows are dealt by a hash to as many tasks as it takes, each of
+    which orders its own by a hash.
     """
     kept = [c for c in mixed.columns if c not in OWN and c not in ("copy", "shard")]
     rows = mixed.select(*kept, F.posexplode("shards").alias("copy", "shard"))

@@ -41,9 +41,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     sized = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words"), F.xxhash64("doc_id", "text").alias("key"))
-    return mixing.mix(sized, size="words", key="key").select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(scratch.table(sized, "sizes"), size="words", key="key", scratch=scratch)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2).drop("source")
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2).drop("source", "within")
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Token ids as a Parquet list column with selective reads.
 
-Documents are dealt by ranges of their id and sorted, so the files hold them
-in ascending order. Ids use dictionary encoding (a token id needs the bits of
+Documents are dealt by ranges of their id, whose bounds are drawn from the ids
+alone, and sorted, so the files hold them in ascending order; an id that is as
+frequent as several ranges has them all. Ids use dictionary encoding (a token id needs the bits of
 the vocabulary, not 32), document ids and positions use delta encoding, row
 groups are small and carry page indexes, so a reader of a few documents or of
 metadata alone skips the token pages.
 
 Defined cases: a null text is an empty one and has only the end id; a null
-document id sorts first; rows with the same id are all kept, ordered by text;
-an empty table gives an empty store; other columns are ignored.
+document id sorts first; rows with the same id are all kept, ordered by text
+within their file; an empty table gives an empty store; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vframe.llm.common import parts
+from vframe.llm.common import batch_rows, parts
 from vframe.llm.encoding import encoder
 
 SCHEMA = "doc_id bigint, shard int, start_in_shard bigint, n_tokens bigint, ids array<int>"
@@ -39,29 +40,22 @@ WRITER = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 
-ROWS = 512
-
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
         own = encoder(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(i, ROWS)
-                ids = [x + end for x in own.encode(batch.column(1).cast(pa.binary()).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                ends = np.concatenate(([0], np.cumsum(n)))
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+        for batch in batches:
+            for low, high, ids, n in own.encode(batch.column(1)):
+                ends = np.cumsum(n + 1)
+                values = np.insert(ids, np.cumsum(n), end_id).astype("<i4", copy=False)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0),
-                        pa.array(np.full(len(n), shard, dtype=np.int32)),
-                        pa.array(start + ends[:-1]),
-                        pa.array(n),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values),
+                        batch.column(0).slice(low, high - low),
+                        pa.array(np.full(high - low, shard, dtype=np.int32)),
+                        pa.array(start + ends - n - 1),
+                        pa.array(n + 1),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(values)),
                     ],
                     names=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"],
                 )
@@ -70,13 +64,30 @@ def _encode(path: str, end_id: int):
     return run
 
 
+def ranged(docs: DataFrame, shards: int) -> DataFrame:
+    """``docs`` (doc_id, text) dealt to ``shards`` ranges of doc_id, null first.
+
+    The bounds are quantiles of doc_id, read without the texts. A value that
+    is several bounds is dealt over their ranges by a hash of the text.
+    """
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint"))
+    share = [(i + 1) / shards for i in range(shards - 1)]
+    bounds = docs.select(F.percentile_approx(key, share, 100 * shards).alias("b")).first()["b"] if share else None
+    if not bounds:
+        return docs.coalesce(1) if share else docs.repartition(1)
+    held = F.lit(bounds)
+    below, most = F.size(F.filter(held, lambda b: b < key)), F.size(F.filter(held, lambda b: b <= key))
+    spread = F.when(below == most, below).otherwise(below + F.pmod(F.xxhash64("text"), most - below + 1).cast("int"))
+    return docs.repartitionById(shards, spread)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None) -> None:
     """Encodes ``docs`` (doc_id, text) and writes the store at ``path``."""
     spark = docs.sparkSession
-    key = F.col("doc_id").cast("bigint").alias("doc_id")
-    ranged = docs.select(key, F.col("text").cast("string").alias("text")).repartitionByRange(shards or parts(spark), "doc_id")
-    rows = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(_encode(tokenizer, end_id), SCHEMA)
-    rows.write.options(**WRITER).parquet(path)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dealt = ranged(rows, shards or parts(spark)).sortWithinPartitions("doc_id", "text")
+    with batch_rows(spark, 4096, 16 << 20):
+        dealt.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**WRITER).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
