@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written and
 read again as the next one's docs. All but the last keep the columns of
-documents. Tables that a stage keeps in the shared folder are dropped when the
+documents; the mixture adds the output shard, which packing keeps apart. Tables that a stage keeps in the shared folder are dropped when the
 next stage begins, since its result is written by then.
 """
 
@@ -16,8 +16,8 @@ from vframe.llm.common import Scratch, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
-#: The setting that holds the key of the pseudonyms, and its value where there is none.
-KEY_SETTING, KEY = "spark.vframe.pii.key", "corpus-2024"
+#: The setting that holds the secret key of the pseudonyms. Where there is none, the key is public: fit for tests only.
+KEY_SETTING, TEST_KEY = "spark.vframe.pii.key", "corpus-2024"
 
 _last: list[Scratch] = []
 
@@ -43,17 +43,18 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gives way to pseudonyms of its format."""
     _scratch(spark)
-    return pii.redact(docs, spark.conf.get(KEY_SETTING, KEY))
+    return pii.redact(docs, spark.conf.get(KEY_SETTING, TEST_KEY))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mixture takes, dealt to shards and shuffled there."""
-    return mixing.emit(mixing.mix(docs, scratch=_scratch(spark))).select(*docs.columns)
+    """A row for each copy that the mixture takes, with its output shard, and shuffled there."""
+    docs = docs.drop("shard")
+    return mixing.emit(mixing.mix(docs, scratch=_scratch(spark))).select(*docs.columns, "shard")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 4096 tokens at most."""
-    return packing.pack(docs, TOKENIZER, END_ID, scratch=_scratch(spark))
+    """The pieces of sequences of 4096 tokens at most, each of one of the mixture's shards."""
+    return packing.pack(docs, TOKENIZER, END_ID, within="shard", scratch=_scratch(spark)).withColumnRenamed("within", "shard")
 
 
 STAGES = [
