@@ -34,6 +34,8 @@ from vframe.llm.streams import runs
 SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 512
 #: Rows of a cell that are searched together.
 BLOCK = 8192
+#: Pairs that are scored exactly at a time.
+PAIRS = 1 << 15
 #: Where queries are compared with all rows, a block has no fewer than this.
 LEAST_BLOCK = 256
 
@@ -79,7 +81,11 @@ def probes(x: np.ndarray, tables: int, seed: int, count: int) -> np.ndarray:
 
 
 def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's index, id, score) of each query's ``k`` nearest other ids, each by its nearest row."""
+    """(query's index, id, score) of each query's ``k`` nearest other ids, each by its nearest row.
+
+    All rows that rounding could put among the ``k`` nearest are scored
+    exactly, so many pairs at a time that ties of any number take bounded memory.
+    """
     near = vectors.units(queries) @ vectors.units(rows).T
     near[own[:, None] == ids[None, :]] = -np.inf
     by_id = near
@@ -87,20 +93,30 @@ def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray
     first = np.flatnonzero(np.diff(ids[order], prepend=ids[order[0]] - 1)) if len(ids) else order
     if len(first) < len(ids):
         by_id = np.maximum.reduceat(near[:, order], first, axis=1)
-    if by_id.shape[1] > k:  # all that rounding could put among the k nearest
+    if by_id.shape[1] > k:
         least = np.maximum(np.partition(by_id, -k, axis=1)[:, -k] - 1e-9, -2.0)
     else:
         least = np.full(len(near), -2.0)
-    q, r = np.nonzero(near >= least[:, None])
+    wanted = near >= least[:, None]
+    held = np.cumsum(wanted.sum(axis=1))
+    out, low = [], 0
+    while low < len(near):
+        high = max(low + 1, int(np.searchsorted(held, (held[low - 1] if low else 0) + PAIRS, side="right")))
+        q, r = np.nonzero(wanted[low:high])
+        out.append(_nearest(q + low, r, queries, rows, ids, k))
+        low = high
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), ids[:0], np.zeros(0))
+
+
+def _nearest(q: np.ndarray, r: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of queries and rows, each query's ``k`` nearest ids with their exact scores."""
     score = vectors.cosine(queries[q], rows[r])
     order = np.lexsort((ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
-    if by_id is not near:
-        _, once = np.unique(np.stack((q, ids[r])), axis=1, return_index=True)
-        once.sort()
-        q, r, score = q[once], r[once], score[once]
-    first = np.searchsorted(q, q, side="left")
-    kept = np.arange(len(q)) - first < k
+    _, once = np.unique(np.stack((q, ids[r])), axis=1, return_index=True)
+    once.sort()
+    q, r, score = q[once], r[once], score[once]
+    kept = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
     return q[kept], ids[r[kept]], score[kept]
 
 
@@ -116,14 +132,7 @@ def fit_probes(ids: np.ndarray, sample: np.ndarray, tables: int, seed: int, k: i
     r = np.array([place[v] for v in found.tolist()], dtype=np.int64)
     need = np.min([rank[q, t, cell[r, t]] for t in range(tables)], axis=0) + 1 if len(q) else np.zeros(0, np.int64)
     total = order.shape[2]
-    for count in range(1, total + 1):
-        if len(need) and (need <= count).mean() < recall:
-            continue
-        reach = sum(np.isin(cell[None, :, t], order[i, t, :count]).sum() for t in range(tables) for i in range(min(n, 32))) if len(ids) <= 8 * k else None
-        if reach is None:
-            return count
-        break
-    return total  # so few rows that every one of them is a candidate
+    return next((c for c in range(1, total) if len(need) and (need <= c).mean() >= recall), total)
 
 
 def _index(tables: int, seed: int):
@@ -179,8 +188,8 @@ def _search(k: int):
                 if not whole[4][low]:
                     key, held_ids, held = now, ids, x
                 elif key == now:
-                    for i in range(0, len(x), 512):
-                        q, v, s = best(x[i : i + 512], ids[i : i + 512], held, held_ids, k)
+                    for i in range(0, len(x), 256):
+                        q, v, s = best(x[i : i + 256], ids[i : i + 256], held, held_ids, k)
                         out.append((ids[i + q], v, s))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vframe.sources.scratch import folder, folder_root
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local folder
-    made, and it is then recorded in the session for later calls.
+    Only a session on one machine may name none: there a local folder is made
+    and recorded in the session. On a cluster that is an error, as every
+    executor would write to its own disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="vframe-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = folder_root(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -28,13 +26,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 class Scratch:
     """Tables in the shared folder that cut lineage and survive lost executors.
 
-    A table stays until :meth:`drop`. A caller that has written an operator's
-    result calls it; results that are still lazy need their tables.
+    A table stays until :meth:`drop`, or else until the driver ends. A caller
+    that has written an operator's result calls it; results that are still
+    lazy need their tables.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{checkpoint_root(spark).rstrip('/')}/vframe-{uuid.uuid4().hex}"
+        checkpoint_root(spark)
+        self.root = folder(spark, "tables")
         self.paths: list[str] = []
 
     def path(self, name: str) -> str:

@@ -32,50 +32,60 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, size: int, steps: int = 120, rate: float = 0.1, penalty: float = 1e-4) -> Crf:
-    """Fits windows (n x t x groups, n x t, n) by Adam; deterministic. Before and after a window stands ``outside``."""
+def likelihood(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of windows (n x t x groups, n x t, n) and its gradients by ``weights`` and ``moves``.
+
+    Before and after a window stands ``outside``; what is beyond a window's length is padding.
+    """
     n, t, groups = features.shape
-    weights, moves = np.zeros((size, 3)), np.zeros((3, 3))
-    barred = np.zeros((3, 3))
-    barred[OUT, INSIDE] = _FORBIDDEN
     inside = np.arange(t)[None, :] < lengths[:, None]
     before = np.concatenate((np.zeros((n, 1), int), tags[:, :-1]), axis=1)
     last = tags[np.arange(n), lengths - 1]
-    flat = features[inside]
-    goal_moves = np.zeros((3, 3))
-    np.add.at(goal_moves, (before[inside], tags[inside]), 1)
-    np.add.at(goal_moves, (last, 0), 1)
-    one = np.eye(3)[tags]
-    state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
+    em = weights[features[:, :, 0]]
+    for g in range(1, groups):
+        em += weights[features[:, :, g]]
+    alpha, beta = np.empty((t, n, 3), em.dtype), np.empty((t, n, 3), em.dtype)
+    alpha[0] = moves[OUT][None] + em[:, 0]
+    for i in range(1, t):
+        new = _logsum(alpha[i - 1][:, :, None] + moves[None], 1) + em[:, i]
+        alpha[i] = np.where(inside[:, i, None], new, alpha[i - 1])
+    whole = _logsum(alpha[t - 1] + moves[:, OUT][None], 1)
+    beta[t - 1] = moves[:, OUT][None]
+    for i in range(t - 2, -1, -1):
+        new = _logsum(moves[None] + (em[:, i + 1] + beta[i + 1])[:, None, :], 2)
+        beta[i] = np.where(inside[:, i + 1, None], new, moves[:, OUT][None])
+    share = np.exp(alpha + beta - whole[None, :, None]).transpose(1, 0, 2)
+    off = (np.eye(3, dtype=em.dtype)[tags] - share)[inside]
+    flat = features[inside].ravel()
+    by_weight = np.stack([np.bincount(flat, weights=np.repeat(off[:, k], groups), minlength=len(weights)) for k in range(3)], axis=1)
+    counts = np.zeros((3, 3))
+    np.add.at(counts, (before[inside], tags[inside]), 1)
+    np.add.at(counts, (last, OUT), 1)
+    found = float(np.take_along_axis(em, tags[:, :, None], axis=2)[..., 0][inside].sum(dtype=np.float64) + (counts * moves).sum() - whole.sum(dtype=np.float64))
+    expected = np.zeros((3, 3))
+    expected[OUT] += np.exp(moves[OUT][None] + em[:, 0] + beta[0] - whole[:, None]).sum(axis=0)
+    for i in range(1, t):
+        pair = np.exp(alpha[i - 1][:, :, None] + moves[None] + (em[:, i] + beta[i])[:, None, :] - whole[:, None, None])
+        expected += pair[inside[:, i]].sum(axis=0)
+    expected[:, OUT] += np.exp(alpha[t - 1] + moves[:, OUT][None] - whole[:, None]).sum(axis=0)
+    return found, by_weight, counts - expected
+
+
+def fit(features: np.ndarray, tags: np.ndarray, lengths: np.ndarray, size: int, steps: int = 60, rate: float = 0.1, penalty: float = 1e-4) -> Crf:
+    """Fits windows by Adam; deterministic. Without windows there is nothing to fit, which is an error."""
+    n = len(features)
+    values = [np.zeros((size, 3), np.float32), np.zeros((3, 3), np.float32)]
+    barred = np.zeros((3, 3), np.float32)
+    barred[OUT, INSIDE] = _FORBIDDEN
+    state = [(np.zeros_like(v), np.zeros_like(v)) for v in values]
     for step in range(1, steps + 1):
-        em = weights[features].sum(axis=2)
-        move = moves + barred
-        alpha, beta = np.empty((t, n, 3)), np.empty((t, n, 3))
-        alpha[0] = move[OUT][None] + em[:, 0]
-        for i in range(1, t):
-            new = _logsum(alpha[i - 1][:, :, None] + move[None], 1) + em[:, i]
-            alpha[i] = np.where(inside[:, i, None], new, alpha[i - 1])
-        whole = _logsum(alpha[t - 1] + move[:, OUT][None], 1)
-        beta[t - 1] = move[:, OUT][None]
-        for i in range(t - 2, -1, -1):
-            new = _logsum(move[None] + (em[:, i + 1] + beta[i + 1])[:, None, :], 2)
-            beta[i] = np.where(inside[:, i + 1, None], new, move[:, OUT][None])
-        share = np.exp(alpha + beta - whole[None, :, None]).transpose(1, 0, 2)
-        grad_em = (one - share)[inside]
-        grad_w = np.stack([np.bincount(np.repeat(flat[:, g], 1), weights=grad_em[:, k], minlength=size) for g in range(groups) for k in range(3)]).reshape(groups, 3, size).sum(axis=0).T
-        expected = np.zeros((3, 3))
-        expected[OUT] += np.exp(move[OUT][None] + em[:, 0] + beta[0] - whole[:, None]).sum(axis=0)
-        for i in range(1, t):
-            pair = np.exp(alpha[i - 1][:, :, None] + move[None] + (em[:, i] + beta[i])[:, None, :] - whole[:, None, None])
-            expected += (pair * inside[:, i, None, None]).sum(axis=0)
-        end = np.exp(alpha[t - 1] + move[:, OUT][None] - whole[:, None]).sum(axis=0)
-        expected[:, OUT] += end
-        grad = [grad_w / n - penalty * weights, (goal_moves - expected) / n - penalty * moves]
-        for value, g, first, second in ((weights, grad[0], state[0], state[1]), (moves, grad[1], state[2], state[3])):
+        grads = likelihood(features, tags, lengths, values[0], values[1] + barred)[1:]
+        for value, grad, (first, second) in zip(values, grads, state, strict=True):
+            g = (grad / n - penalty * value).astype(np.float32)
             first += 0.1 * (g - first)
             second += 0.001 * (g * g - second)
             value += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return Crf(weights.astype(np.float32), (moves + barred).astype(np.float32))
+    return Crf(values[0], values[1] + barred)
 
 
 def viterbi(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:

@@ -12,22 +12,27 @@ Other files encode whole texts. Either way the ids come from the library.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Chunks kept by a worker; beyond it those met least are dropped.
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 #: Longer chunks are encoded but not kept.
 MAX_WORD_BYTES = 64
 #: Bytes of text, or a single text, that are encoded together.
 SLICE_BYTES = 4_000_000
 #: Marks that are taken off a chunk's end.
 MARKS = b".,;:!?|"
+#: Letters that normalizing leaves as they are, but for their case: of ASCII and two Latin blocks, but two.
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
+#: Words of plain letters that are encoded in one text.
+TOGETHER = 2048
 
 # Parts of tokenizer files under which chunks are independent.
 _SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
@@ -78,6 +83,10 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         if suffix:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        #: for words of plain letters in lower case, which neither normalizing nor splitting changes
+        self.quick = Tokenizer.from_str(self.tokenizer.to_str())
+        self.quick.normalizer = normalizers.Sequence([])
+        self.quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last: dict[str, bool] = {}
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")
@@ -99,22 +108,24 @@ class Encoder:
 
     def _letters(self, word: bytes) -> bool:
         """Whether a word is one run of letters, however it is normalized."""
-        return word.isalpha() if word.isascii() else all(map(self._letter, word.decode("utf-8", "replace")))
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode("utf-8", "replace")
+        return PLAIN.fullmatch(text) is not None or all(map(self._letter, text))
 
     def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of chunks, in turn; words of letters go together in texts of many."""
+        """Ids and counts of chunks, in turn; words of plain letters go together in texts of many."""
         if not self.ends.any():
             return self._whole(words)
-        plain = np.fromiter(map(self._letters, words), dtype=bool, count=len(words))
-        own = [w for w, p in zip(words, plain.tolist(), strict=True) if p]
-        texts = [b" ".join(own[i : i + 256]) for i in range(0, len(own), 256)]
-        ids, _ = self._whole(texts)
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.fromiter((PLAIN.fullmatch(t) is not None for t in texts), dtype=bool, count=len(words))
+        own = [t.lower() if self.folds else t for t, p in zip(texts, plain.tolist(), strict=True) if p]
+        found = self.quick.encode_batch_fast([" ".join(own[i : i + TOGETHER]) for i in range(0, len(own), TOGETHER)], add_special_tokens=False)
+        ids = np.array([i for e in found for i in e.ids], dtype="<u4")
         end = np.flatnonzero(self.ends[ids]) + 1
-        if len(end) != len(own):  # a letter that is unknown to one of the two
-            return self._whole(words)
         other, n_other = self._whole([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
         start, length = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        start[plain], length[plain] = np.concatenate(([0], end[:-1])), np.diff(end, prepend=0)
+        start[plain], length[plain] = np.concatenate(([0], end))[: len(own)], np.diff(end, prepend=0)  # each word has one end
         start[~plain], length[~plain] = len(ids) + np.cumsum(n_other) - n_other, n_other
         return gathered(np.concatenate((ids, other)), start, length), length
 
@@ -169,16 +180,18 @@ class Encoder:
         chunks = split.flatten().dictionary_encode()
         code, distinct = np.asarray(chunks.indices), chunks.dictionary.cast(pa.binary()).to_pylist()
 
-        def places() -> np.ndarray:
-            return np.fromiter(map(self.place.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        def places(words: list[bytes]) -> np.ndarray:
+            return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
-        at = places()
+        at = places(distinct)
         if (at < 0).any():
             if len(self.place) + int((at < 0).sum()) > MAX_WORDS and self.place:
                 self._forget()
-                at = places()
-            self._add([distinct[i] for i in np.flatnonzero(at < 0)])
-            at = places()
+                at = places(distinct)
+            new = np.flatnonzero(at < 0)
+            words = [distinct[i] for i in new.tolist()]
+            self._add(words)
+            at[new] = places(words)
         self.met[at] += 1
         start, length = self.start[at[code]], self.length[at[code]]
         end = np.concatenate(([0], np.cumsum(length)))[np.cumsum(np.concatenate(([0], pc.list_value_length(split).to_numpy())))]

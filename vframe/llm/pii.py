@@ -7,7 +7,10 @@ a Feistel network whose round function is a keyed hash: digits are permuted
 among the numbers that validate, a date among the days of 1800 to 2199, the
 letters and digits of an e-mail's local part class by class. The same value
 gives the same pseudonym in every document, whatever its separators, and two
-values never share one.
+values never share one. A telephone number goes by its digits: one and ten
+digits with a valid area and office are North American, however they are set
+apart. A date keeps its order of day and month: with slashes, one whose first
+number is above 12 is mapped among its like.
 
 Defined cases: a null text stays null with no finds; a candidate that does
 not validate stays as it is; a value that touches letters or digits is part
@@ -32,7 +35,8 @@ _WORLD = r"\+[1-9]\d{0,3}(?:[ .-]?\(?\d{1,5}\)?){1,6}"
 _SSN = r"\d{3}-\d{2}-\d{4}"
 _IP = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,8}\.[A-Za-z]{2,24}"
+# A host name has 253 characters at most, so 127 labels of 63.
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,125}\.[A-Za-z]{2,63}"
 #: What every candidate has, cheaply found: an at sign, or seven characters of a number.
 HINT = r"@|[0-9][0-9 ()./+-]{5,}[0-9]"
 CANDIDATE = rf"{_EMAIL}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:{_IP}(?!\.?\d)|{_DATE}|{_SSN}(?!-\d)|{_CARD}|{_NANP}|{_WORLD})(?![A-Za-z0-9])"
@@ -239,7 +243,7 @@ def _item(m: Column, key: str) -> Column:
         .when(m.rlike(f"^(?:{_DATE})$"), of("date", _date(m, key)))
         .when(m.rlike(f"^(?:{_SSN})$"), of("ssn", _ssn(m, key)))
         .when(m.rlike(f"^(?:{_CARD})$"), of("card", _card(m, key)))
-        .when(m.rlike(f"^(?:{_NANP})$"), of("phone", _nanp(m, key)))
+        .when(m.rlike(f"^(?:{_NANP})$") | _digits(m).rlike("^1[2-9][0-9]{2}[2-9][0-9]{6}$"), of("phone", _nanp(m, key)))
         .otherwise(of("phone", _world(m, key)))
     )
 

@@ -5,7 +5,8 @@ runs of other punctuation. Each is described by its shape (length, kinds of
 characters, changes between them), by the words around it and by features of
 the file (density of digits and of assignments). The field is trained on a
 bounded sample of the corpus: what the patterns find there, the same files
-with invented secrets put in, and files without any. It tags tokens as begin,
+with invented secrets and lookalikes (addresses, identifiers, paths) put in,
+and files without any. It tags tokens as begin,
 inside or outside of a secret; spans that touch no pattern's span are added.
 
 Defined cases: a null text is an empty one; without any document nothing is
@@ -29,7 +30,8 @@ from vframe.llm.shingles import BYTE_VALUES, mix, powers
 
 #: Documents drawn to train on, and of those the ones kept with and without a find.
 DRAWN, WITH_FIND, WITHOUT_FIND = 12_000, 300, 300
-AROUND = 10
+#: Tokens on each side of a window's centre; windows that a text gives to the fit about its secrets, and others.
+AROUND, ABOUT, ELSEWHERE = 8, 6, 3
 
 # The patterns and least lengths of the base kinds.
 PATTERNS = {
@@ -66,7 +68,7 @@ _SHAPE = np.select([_BITS[:, 2], _BITS[:, 1]], [1, 2], 0)  # of letters and digi
 
 _LENGTHS = np.array([2, 4, 6, 8, 12, 16, 20, 24, 32, 40, 64])
 _WORDS = 1 << 11
-_GROUPS = (len(_LENGTHS) + 1, 64 * 5, 4 * 8, 64, _WORDS, _WORDS, _WORDS, _WORDS, 4 * 4, 4 * 3)
+_GROUPS = (len(_LENGTHS) + 1, 64 * 5, 4 * 8, 64, _WORDS, _WORDS, _WORDS, _WORDS, 4 * 4, 4 * 3, 4 * 5 * 4)
 _AT = np.cumsum((0, *_GROUPS))
 SIZE = int(_AT[-1])
 
@@ -99,6 +101,10 @@ def describe(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.n
     dense = np.digitize(file_digits / size, (0.002, 0.02, 0.1))[doc]
     marks = np.digitize(file_equals / size, (0.001, 0.02))[doc]
 
+    def occurs(mark: int, most: int) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(buffer == mark)))
+        return np.minimum(total[ends] - total[starts], most)
+
     def shifted(by: int) -> np.ndarray:
         out, same = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
         if by > 0:
@@ -119,6 +125,7 @@ def describe(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.n
         shifted(-1),
         dense * 4 + share,
         marks * 4 + np.minimum(3, own_changes),
+        occurs(ord("/"), 3) * 20 + occurs(ord("-"), 4) * 4 + occurs(ord("."), 3),
     )
     return np.stack([g + at for g, at in zip(groups, _AT, strict=False)], axis=1)
 
@@ -185,21 +192,50 @@ def _found(tags: np.ndarray) -> Iterator[tuple[int, int]]:
 _ALPHABETS = ("abcdef0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz0123456789_-")
 
 
-def _with_secrets(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
-    """A text with a few invented secrets between its words, and where they are."""
+def _lookalike(rng: np.random.Generator) -> str:
+    """Something long and mixed that is no secret."""
+
+    def of(letters: str, n: int) -> str:
+        return "".join(rng.choice(list(letters), n))
+
+    lower, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    word = lambda: of(lower, int(rng.integers(3, 12)))
+    made = (
+        lambda: f"https://{word()}.{word()}.org/{word()}/{word()}-{of(digits, 4)}",
+        lambda: f"http://www.{word()}.com/{word()}?{word()}={of(digits, 3)}",
+        lambda: f"//{word()}.com/{word()}/{word()}/{of(hexa, 7)}",
+        lambda: "-".join(of(hexa, n) for n in (8, 4, 4, 4, 12)),
+        lambda: ".".join(str(int(x)) for x in rng.integers(1, 255, 4)),
+        lambda: f"20{of(digits, 2)}-0{int(rng.integers(1, 10))}-1{of(digits, 1)}T1{of(digits, 1)}:{of('012345', 1)}{of(digits, 1)}:00Z",
+        lambda: f"/{word()}/{word()}/{word()}_{of(digits, 3)}.{of(lower, 3)}",
+        lambda: "".join(word().capitalize() for _ in range(4)),
+        lambda: "_".join(word() for _ in range(4)),
+        lambda: f"{word()}.{word()}@{word()}.net",
+        lambda: of(digits, int(rng.integers(8, 17))),
+        lambda: word() + word() + word(),
+    )
+    return made[int(rng.integers(len(made)))]()
+
+
+def _with_secrets(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]], list[int]]:
+    """A text with a few invented secrets and lookalikes between its words, where those are and where these start."""
     words = text.split(" ")
-    out, spans, size = [], [], 0
-    places = set(rng.integers(0, len(words), 3).tolist())
+    out, spans, others, size = [], [], [], 0
+    secrets, decoys = (set(rng.integers(0, len(words), n).tolist()) for n in (3, 4))
     for i, w in enumerate(words):
-        if i in places:
+        if i in secrets:
             secret = "".join(rng.choice(list(_ALPHABETS[int(rng.integers(len(_ALPHABETS)))]), int(rng.integers(20, 48))))
             before = str(rng.choice(["", "key: ", "Bearer ", "auth=", "credential ", '"', "sk_live_"]))
             spans.append((size + len(before), size + len(before) + len(secret)))
             out.append(before + secret + ('"' if before == '"' else ""))
             size += len(out[-1]) + 1
+        if i in decoys:
+            others.append(size)
+            out.append(_lookalike(rng))
+            size += len(out[-1]) + 1
         out.append(w)
         size += len(w) + 1
-    return " ".join(out), spans
+    return " ".join(out), spans, others
 
 
 def learn(texts: list[str], seed: int = 9) -> crf.Crf | None:
@@ -210,14 +246,13 @@ def learn(texts: list[str], seed: int = 9) -> crf.Crf | None:
         if not text:
             continue
         found = [(s, e) for s, e, _ in base_spans(text, text.encode("utf-8", "surrogatepass"), 1 << 30)]
-        for body, spans in ((text, found), _with_secrets(text[:20_000], rng)):
+        for body, spans, others in ((text, found, []), _with_secrets(text, rng)):
             if spans is not found:
                 spans = spans + [(s, e) for s, e, _ in base_spans(body, body.encode("utf-8", "surrogatepass"), 1 << 30)]
             raw = body.encode("utf-8", "surrogatepass")
             buffer, _, starts, ends, doc = _parsed([raw])
             if not len(starts):
                 continue
-            features = describe(buffer, starts, ends, doc, 1)
             label = np.zeros(len(starts), dtype=np.int64)
             points = np.concatenate(([0], np.cumsum((buffer & 0xC0) != 0x80)))
             for s, e in spans:
@@ -226,8 +261,11 @@ def learn(texts: list[str], seed: int = 9) -> crf.Crf | None:
                 inside = inside[-1:] if len(inside) > 1 and spans is found else inside
                 label[inside] = crf.INSIDE
                 label[inside[:1]] = crf.BEGIN
-            centres = np.concatenate((np.flatnonzero(label), rng.integers(0, len(label), 4)))[:40]
-            for c in centres.tolist():
+            features = describe(buffer, starts, ends, doc, 1)
+            about = np.flatnonzero(label)
+            about = rng.choice(about, ABOUT, replace=False) if len(about) > ABOUT else about
+            near = np.searchsorted(points[starts], others)[:ELSEWHERE]
+            for c in np.concatenate((about, near, rng.integers(0, len(label), ELSEWHERE))).clip(0, len(label) - 1).astype(int).tolist():
                 low, high = max(0, c - AROUND), min(len(label), c + AROUND + 1)
                 windows.append(features[low:high])
                 tags.append(label[low:high].copy())
@@ -243,18 +281,22 @@ def learn(texts: list[str], seed: int = 9) -> crf.Crf | None:
 
 
 def train(docs: DataFrame, drawn: int = DRAWN, seed: int = 9) -> crf.Crf | None:
-    """Trains on at most WITH_FIND + WITHOUT_FIND documents of about ``drawn`` that a hash picks."""
+    """Trains on at most WITH_FIND + WITHOUT_FIND documents of about ``drawn`` that a hash picks.
+
+    The hashes of the drawn documents go to the driver, and then the texts of
+    those that are trained on.
+    """
     n = docs.count()
     if not n:
         return None
-    draw = F.xxhash64(F.lit(seed), "doc_id", "text")
-    some = docs.select(F.col("text").cast("string").alias("text"), draw.alias("h")).filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < drawn / n)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     find = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
-    has = F.coalesce(F.col("text").rlike(find), F.lit(False))
-    rows = []
-    for part, most in ((some.filter(has), WITH_FIND), (some.filter(~has), WITHOUT_FIND)):
-        rows += part.orderBy("h", "text").limit(most).collect()
-    return learn([r["text"] for r in rows], seed)
+    some = rows.filter(F.shiftrightunsigned("h", 11) / float(1 << 53) < drawn / n)
+    found = sorted(some.select("h", F.coalesce(F.col("text").rlike(find), F.lit(False)).alias("has")).distinct().collect())
+    kept = [h for has, most in ((True, WITH_FIND), (False, WITHOUT_FIND)) for h in [r["h"] for r in found if r["has"] == has][:most]]
+    order = {h: i for i, h in enumerate(kept)}
+    texts = {order[r["h"]]: r["text"] for r in rows.filter(F.col("h").isin(kept)).dropDuplicates(["h"]).collect()}
+    return learn([texts[i] for i in sorted(texts)], seed)
 
 
 def find_secrets(docs: DataFrame, model: crf.Crf | None) -> DataFrame:
