@@ -12,14 +12,45 @@ from vframe.plans.record import RecordType
 from vframe.streaming.session import Session
 
 
-def test_rules():
-    assert [arrays.chunk_rows((0,), "float64"), arrays.chunk_rows((0, 1024), "float64")] == [32768, 32]
-    assert [arrays.append_axis((0, 1024)), arrays.append_axis((16, 0)), arrays.append_axis((100, 1024)), arrays.append_axis((4, 0), -1)] == [0, 1, 0, 1]
-    with pytest.raises(BackendError):
-        arrays.append_axis((0, 0))
-    assert arrays.appended_shape((10, 4), (5, 4), 0) == (15, 4)
-    with pytest.raises(BackendError):
-        arrays.appended_shape((0, 4), (3, 8), 0)
+@pytest.mark.parametrize(("shape", "dtype", "axis"), [((0,), "int16", 0), ((0, 50), "float32", 0), ((6, 0, 3), "complex64", 1), ((0, 70_000), "float64", 0), ((0,), "uint8", 0)])
+def test_chunks_aim_at_their_bytes(shape, dtype, axis):
+    row = arrays.ITEM_BYTES[dtype]
+    for i, n in enumerate(shape):
+        row *= 1 if i == axis else n
+    rows = arrays.chunk_rows(shape, dtype, axis)
+    assert rows == 1 if row > arrays.CHUNK_BYTES else rows * row <= arrays.CHUNK_BYTES < (rows + 1) * row
+    assert arrays.chunk_rows(shape, dtype, axis, 7) == 7
+
+
+def test_axis_and_shape_of_appends():
+    assert [arrays.append_axis(s) for s in ((0, 9), (8, 0, 2), (3, 5), ())] == [0, 1, 0, 0]
+    assert [arrays.append_axis((2, 3, 4), i) for i in (-1, 1, -3)] == [2, 1, 0]
+    for bad in ((0, 2, 0), (0, 0)):
+        with pytest.raises(BackendError, match="several"):
+            arrays.append_axis(bad)
+    with pytest.raises(BackendError, match="out of range"):
+        arrays.append_axis((2, 2), 2)
+    assert arrays.appended_shape((7, 2, 3), (7, 9, 3), 1) == (7, 11, 3)
+    for more in ((7, 9, 4), (7, 9)):
+        with pytest.raises(BackendError):
+            arrays.appended_shape((7, 2, 3), more, 1)
+
+
+def test_slices_after_short_appends(spark, tmp_path):
+    base = spark.createDataFrame([(1, [float(i) for i in range(10)])], "id bigint, a array<double>")
+    now = arrays.to_chunks(base, "id", "a", 4, "float64")
+    have = [float(i) for i in range(10)]
+    for more in ([10.0], [11.0, 12.0, 13.0, 14.0], [], [15.0] * 6):
+        df = spark.createDataFrame([(1, more)], "doc_id bigint, vals array<double>")
+        now = now.unionByName(arrays.append(now, df, "a", 4, "float64"))
+        have += more
+    now = spark.createDataFrame(now.collect(), now.schema)
+    for low in range(0, len(have) + 2, 3):
+        for high in range(low, len(have) + 3, 2):
+            got = arrays.read_slice(now, low, high, 4).collect()
+            assert (got[0]["vals"] if got else []) == have[low:high]
+    changed = {r["start"]: r["vals"] for r in arrays.update(now, 11, 13, F.lit(-1.0), 4).collect()}
+    assert changed[11] == [-1.0, -1.0, 13.0, 14.0]
 
 
 @pytest.fixture

@@ -18,42 +18,92 @@ from vframe.plans.record import RecordType
 from vframe.sources import formats, text
 
 
-class Color(enum.Enum):
-    RED = "red"
-    GREEN = "green"
+class Grade(enum.Enum):
+    FIRST = "a"
+    SECOND = "b"
 
 
-INNER = RecordType("SinkInner", 1, {"x": float, "y": float}, register=False)
-SINK = RecordType(
-    "Sink",
+STOP = RecordType("Stop", 1, {"km": float, "pause": int}, register=False)
+#: One field for each kind of type.
+TRIP = RecordType(
+    "Trip",
     1,
     {
-        "name": str, "count": int, "rate": float, "debug": bool, "color": Color, "createdAt": dt.datetime, "today": dt.date, "elapsed": dt.timedelta,
-        "uid": uuid.UUID, "price": decimal.Decimal, "mode": typing.Literal["fast", "slow"], "tags": list[str], "flags": list[bool], "uniqueTags": set[str],
-        "metadata": dict[str, int], "indexed": dict[int, str], "nested": INNER, "points": list[INNER], "blob": bytes, "z": complex, "note": str | None,
+        "carrier": str, "seats": int, "fare": float, "night": bool, "grade": Grade, "leaves": dt.datetime, "sold": dt.date, "lasts": dt.timedelta, "at": dt.time,
+        "ticket": uuid.UUID, "tax": decimal.Decimal, "way": typing.Literal["rail", "road"], "words": list[str], "held": list[bool], "codes": set[str], "ids": frozenset[int],
+        "by_class": dict[str, int], "by_coach": dict[int, str], "origin": STOP, "stops": list[STOP], "seal": bytes, "wave": complex, "remark": str | None,
     },
     register=False,
-)
+)
 
 
 @pytest.fixture(scope="module")
-def sink(spark):
-    return spark.range(1).select(
-        F.lit("experiment-1").alias("name"), F.lit(42).cast("bigint").alias("count"), F.lit(3.14159265358979).alias("rate"), F.lit(True).alias("debug"), F.lit("green").alias("color"),
-        F.lit(dt.datetime(2024, 6, 15, 14, 30)).cast("timestamp_ntz").alias("createdAt"), F.lit(dt.date(2024, 6, 15)).alias("today"), F.expr("interval '0 02:30:15' day to second").alias("elapsed"),
-        F.lit("12345678-1234-5678-1234-567812345678").alias("uid"), F.lit("12.50").cast("decimal(38,18)").alias("price"), F.lit("slow").alias("mode"),
-        F.array(F.lit("a"), F.lit("b")).alias("tags"), F.array(F.lit(True), F.lit(False)).alias("flags"), F.array(F.lit("x"), F.lit("y")).alias("uniqueTags"),
-        F.create_map(F.lit("width"), F.lit(100).cast("bigint")).alias("metadata"), F.create_map(F.lit(0).cast("bigint"), F.lit("first")).alias("indexed"),
-        F.struct(F.lit(1.5).alias("x"), F.lit(-2.5).alias("y")).alias("nested"),
-        F.array(F.struct(F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))).alias("points"), F.lit(b"\x00\xff" * 50).alias("blob"), F.struct(F.lit(1.0).alias("re"), F.lit(2.0).alias("im")).alias("z"), F.lit(None).cast("string").alias("note"),
-    )
+def trips(spark):
+    """An ordinary row, one of extremes, and one of empty values and nulls."""
+    return spark.sql(
+        """SELECT * FROM VALUES
+        ('Nord', 84L, 19.75D, false, 'b', timestamp_ntz'2031-02-28 23:59:59.125', date'2030-12-31', interval '1 05:00:07.5' day to second, '04:05:06', 'a1b2c3d4-0000-4000-8000-00000000beef', 3.140BD, 'rail',
+         array('quiet', 'é"\\n'), array(false), array('k', 'l'), array(-4L, 9L), map('one', 1L, 'two', 2L), map(3L, 'c'), named_struct('km', 0.25D, 'pause', 4L),
+         array(named_struct('km', 7.0D, 'pause', 0L), named_struct('km', -1.5D, 'pause', 2L)), X'00FF7E', named_struct('re', -0.5D, 'im', 8.0D), 'x'),
+        ('', 9223372036854775807L, 1.7976931348623157E308D, true, 'a', timestamp_ntz'0001-01-01 00:00:00', date'9999-12-31', interval '-2 00:00:00' day to second, '23:59:59.999999', 'ffffffff-ffff-4fff-8fff-ffffffffffff', -99999999999999999999.000000000000000001BD, 'road',
+         array('', 'null', 'yes', '007'), array(true, true), array('0'), array(0L), map('', -9223372036854775808L), map(-1L, ''), named_struct('km', -0.0D, 'pause', -1L),
+         array(named_struct('km', 1E-300D, 'pause', 9007199254740993L)), X'', named_struct('re', 0.0D, 'im', -0.0D), ''),
+        ('Zähl \u2028 µ', 0L, 0.1D, true, 'a', timestamp_ntz'1970-01-01 00:00:00.000001', date'1969-12-31', interval '0 00:00:00' day to second, '00:00:00', '00000000-0000-4000-8000-000000000000', 0BD, 'rail',
+         array(), array(), array(), array(), map(), map(), named_struct('km', 2.0D, 'pause', 1L), array(), X'41', named_struct('re', 1.0D, 'im', 1.0D), cast(null AS string))
+        AS t(carrier, seats, fare, night, grade, leaves, sold, lasts, at, ticket, tax, way, words, held, codes, ids, by_class, by_coach, origin, stops, seal, wave, remark)"""
+    ).withColumn("tax", F.col("tax").cast("decimal(38,18)"))
 
 
 @pytest.mark.parametrize("fmt", ["json", "yaml", "toml", "parquet"])
-def test_round_trip(spark, sink, tmp_path, fmt):
-    record = SINK if fmt != "toml" else RecordType("Sink", 1, SINK.fields, {"note": None}, register=False)
-    formats.save(sink, record, f"{tmp_path}/x", format=fmt)
-    assert formats.load(spark, record, f"{tmp_path}/x", format=fmt).collect() == sink.select(*record.fields).collect()
+def test_round_trip(spark, trips, tmp_path, fmt):
+    record = TRIP if fmt != "toml" else RecordType("Trip", 1, TRIP.fields, {"remark": None}, register=False)  # TOML has no null
+    typed = record.migrate(trips, 1)
+    formats.save(typed, record, f"{tmp_path}/x", format=fmt)
+    order = lambda df: sorted(df.collect(), key=lambda r: r["ticket"])
+    assert order(formats.load(spark, record, f"{tmp_path}/x", format=fmt)) == order(typed)
+
+
+def test_large_files_are_split(spark, tmp_path):
+    record = RecordType("Line", 1, {"k": int, "s": str}, register=False)
+    rows = spark.range(0, 4000, 1, 1).select(F.col("id").alias("k"), F.lit("x" * 60).alias("s"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for fmt in ("json", "yaml", "toml"):
+        formats.save(rows, record, f"{tmp_path}/{fmt}", format=fmt)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        try:
+            got = formats.load(spark, record, f"{tmp_path}/{fmt}", format=fmt)
+            parts = got.select(F.spark_partition_id().alias("p"), "k").groupBy("p").agg(F.count("*").alias("n")).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert len(parts) > 3 and sum(r["n"] for r in parts) == 4000
+
+
+def test_json_of_several_lines(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{\n  "name": "one",\n  "retries": 2\n}\n')
+    assert formats.load(spark, CONFIG, str(tmp_path / "p.json")).collect() == [("one", False, 2)]
+    (tmp_path / "q.jsonl").write_text('{"name": "one"}\n{"name":\n')
+    with pytest.raises(Exception, match="not an object"):
+        formats.load(spark, CONFIG, str(tmp_path / "q.jsonl")).collect()
+
+
+def test_arrays_in_text(spark, tmp_path):
+    record = RecordType("Wave", 1, {"n": int, "a": NdArray("float64")}, register=False)
+    blob = json.dumps(text.array_to_blob("float64", [2, 2], [1.5, float("nan"), float("inf"), -2.0]))
+    (tmp_path / "w.json").write_text('{"n":1,"a":%s}\n{"n":2,"a":%s}\n' % (blob, blob.replace("__ver_ndarray__", "__ndarray__")))
+    for r in formats.load(spark, record, str(tmp_path / "w.json")).collect():
+        assert r["a"]["shape"] == [2, 2] and r["a"]["data"][0] == 1.5 and r["a"]["data"][1] != r["a"]["data"][1] and r["a"]["data"][2:] == [float("inf"), -2.0]
+
+
+def test_data_source_shares_files_out(tmp_path):
+    from vframe.sources.datasource import DocumentReader
+
+    for i in range(5):
+        (tmp_path / f"{i}.yaml").write_text(f"a: {i}\n---\na: {i + 10}\n")
+    (tmp_path / "_hidden.yaml").write_text("a: 1\n")
+    for path in (str(tmp_path), f"file://{tmp_path}"):
+        reader = DocumentReader({"path": path})
+        parts = reader.partitions()
+        assert len(parts) == 1 and sorted(json.loads(d)["a"] for p in parts for _, d in reader.read(p)) == [0, 1, 2, 3, 4, 10, 11, 12, 13, 14]
 
 
 def doc(tmp_path, name, body):

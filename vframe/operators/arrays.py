@@ -2,8 +2,9 @@
 
 A chunk row has doc_id, field, chunk_no, start (its first row along the append
 axis), dtype, shape (of the whole array when the chunk was written) and vals.
-Slices read the chunks they touch: the condition on chunk_no is pushed to the
-Parquet scan.
+Slices read the chunks they touch: the condition on start is pushed to the
+Parquet scan. Appends leave short chunks behind, so positions tell where a
+chunk is, numbers only its place in order.
 """
 
 from __future__ import annotations
@@ -58,14 +59,22 @@ def to_chunks(df: DataFrame, id_col: str, array_col: str, rows: int, dtype: str)
 
 
 def read_slice(chunks: DataFrame, start: int, stop: int, rows: int) -> DataFrame:
-    """doc_id and vals of [start, stop) of every array, from the chunks it touches."""
-    near = chunks.filter(F.col("chunk_no").between(start // rows, max(start, stop - 1) // rows))
+    """doc_id and vals of [start, stop) of every array, from the chunks it touches.
+
+    ``rows`` is the most that a chunk holds. An array that ends before
+    ``start`` gives no row or an empty one.
+    """
+    near = _touched(chunks, start, stop, rows)
     low = F.greatest(F.lit(start) - F.col("start"), F.lit(0))
     high = F.least(F.lit(stop) - F.col("start"), F.size("vals"))
     part = F.slice(F.col("vals"), low + 1, F.greatest(high - low, F.lit(0)))
     return joined(near.select("doc_id", "chunk_no", part.alias("vals")))
 
 
+def _touched(chunks: DataFrame, start: int, stop: int, rows: int) -> DataFrame:
+    return chunks.filter((F.col("start") > start - rows) & (F.col("start") < max(stop, start + 1)))
+
+
 def joined(chunks: DataFrame) -> DataFrame:
     """doc_id and vals of whole arrays, chunks in order."""
     parts = F.array_sort(F.collect_list(F.struct("chunk_no", "vals")))
@@ -75,9 +84,10 @@ def joined(chunks: DataFrame) -> DataFrame:
 def append(chunks: DataFrame, more: DataFrame, field: str, rows: int, dtype: str) -> DataFrame:
     """New chunk rows for ``more`` (doc_id, vals), after what each array has.
 
-    The last chunk is not refilled: an append only adds rows.
+    The last chunk is not refilled: an append only adds rows. Lengths come
+    from the stored shapes; no value is read.
     """
-    ends = chunks.groupBy("doc_id").agg(F.max(F.col("start") + F.size("vals")).alias("n"), (F.max("chunk_no") + 1).alias("next"))
+    ends = chunks.groupBy("doc_id").agg(F.max(F.get("shape", F.lit(0))).alias("n"), (F.max("chunk_no") + 1).alias("next"))
     own = to_chunks(more.withColumnRenamed("vals", "_vals"), "doc_id", "_vals", rows, dtype).join(ends, "doc_id", "left")
     base, first = F.coalesce("n", F.lit(0)), F.coalesce("next", F.lit(0))
     shape = F.array(base + F.get("shape", F.lit(0)))
@@ -105,7 +115,7 @@ def _by_doc():
 
 def update(chunks: DataFrame, start: int, stop: int, value: Column, rows: int) -> DataFrame:
     """The touched chunks with elements in [start, stop) replaced, to be written over the old ones."""
-    near = chunks.filter(F.col("chunk_no").between(start // rows, (stop - 1) // rows))
+    near = _touched(chunks, start, stop, rows)
     changed = F.transform("vals", lambda x, i: F.when((F.col("start") + i >= start) & (F.col("start") + i < stop), value).otherwise(x))
     return near.withColumn("vals", changed.cast(chunks.schema["vals"].dataType))
 

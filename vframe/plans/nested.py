@@ -1,8 +1,9 @@
 """The same migrations inside structs, arrays, maps and polymorphic values.
 
 A nested value carries its own envelope, ``_env`` (object, version, hash), or
-is taken to be current. A field of a superset struct counts as present where
-it is not null, unless the layout of its version is given.
+is taken to be current. A field that the struct's type has is present, null or
+not, unless the layout of its version is given or the envelope lists the names
+of the fields that the value was stored with (``_env.fields``), as stores do.
 """
 
 from __future__ import annotations
@@ -29,13 +30,22 @@ def version_of(value: Column, stored: T.StructType, record: RecordType) -> Colum
     return F.lit(record.version)
 
 
+def _listed(value: Column, stored: T.StructType, record: RecordType) -> Column | None:
+    """The names of the fields that a value was stored with, where stores note them."""
+    for f in stored.fields:
+        if f.name in ("_env", record.envelope_key) and isinstance(f.dataType, T.StructType) and "fields" in f.dataType.names:
+            return value[f.name]["fields"]
+    return None
+
+
 def _fields(value: Column, stored: T.StructType, record: RecordType, version: int, layouts: Layouts | None) -> list[Column]:
     names = {f.name: f.dataType for f in stored.fields if f.name not in ("_env", "_v", record.envelope_key)}
     given = (layouts or {}).get(version)
     if given is not None:
         cells = {n: Cell(value[n], True, names[n]) for n in given}
     else:
-        cells = {n: Cell(value[n], value[n].isNotNull(), t) for n, t in names.items()}
+        listed = _listed(value, stored, record)
+        cells = {n: Cell(value[n], True if listed is None else F.coalesce(F.array_contains(listed, n), value[n].isNotNull()), t) for n, t in names.items()}
     frame = Frame(cells, types=record.fields)
     return record.finished(run(record.steps(version), frame))
 

@@ -20,7 +20,8 @@ from vframe.plans.migration import Cell, Frame, Migration, Step, chain, run
 from vframe.sources import envelope as env
 
 _REGISTRY: dict[str, RecordType] = {}
-_MISSING = object()
+#: The column of undeclared fields that are preserved.
+REST = "_rest"
 _lenient = False
 
 
@@ -51,8 +52,9 @@ class RecordType:
 
     ``migrations`` maps a version to the step that leads to the next.
     ``base`` is a record type whose fields and defaults come first.
-    ``unknown`` is "ignore", "error" or "preserve" (which ignores, as values
-    of undeclared fields have no column to go to).
+    ``unknown`` is "ignore", "error" or "preserve"; the last keeps undeclared
+    fields of whole documents in a column ``_rest`` (a map of VARIANT), which
+    writers of text formats put back.
     """
 
     def __init__(
@@ -187,6 +189,7 @@ class RecordType:
         assume: int | None = None,
         upgrade: bool = False,
         sparse: bool = False,
+        names: str | None = None,
         keep: tuple[str, ...] = (),
     ) -> DataFrame:
         """Rows of typed columns brought to this version, in one projection.
@@ -194,17 +197,25 @@ class RecordType:
         ``version`` is a column or a number; ``layouts`` names the columns
         that rows of a version really have, by default all of ``df``. In a
         ``sparse`` frame, where files of several versions were merged, older
-        rows have the columns that are not null.
-        Versions later than this one are an error when a row has one.
+        rows have the columns that the array column ``names`` lists; where it
+        is null, those that are not null themselves.
+        Versions later than this one are an error when a row has one, also
+        where no field is read.
         """
-        columns = {f.name: f.dataType for f in df.schema.fields if f.name != version and f.name not in keep}
+        columns = {f.name: f.dataType for f in df.schema.fields if f.name not in (version, names) and f.name not in keep}
+
+        def present(n: str, v: int) -> Column | bool:
+            if not sparse or v == self.version:
+                return True
+            filled = F.col(f"`{n}`").isNotNull()
+            return F.coalesce(F.array_contains(F.col(names), n), filled) if names else filled
 
         def frame(v: int) -> list[Column]:
             self._gate(v, upgrade)
             have = (layouts or {}).get(v, list(columns))
             if sparse and v == self.version:
                 have = [n for n in have if n in self.fields]
-            f = Frame({n: Cell(c := F.col(f"`{n}`"), c.isNotNull() if sparse and v < self.version else True, columns[n]) for n in have}, types=self.fields)
+            f = Frame({n: Cell(F.col(f"`{n}`"), present(n, v), columns[n]) for n in have}, types=self.fields)
             run(self.steps(v), f)
             if self.unknown == "error" and (extra := set(f.cells) - set(self.fields)):
                 raise UnknownFieldError(f"{self.record_name} has unknown fields {', '.join(sorted(extra))}")
@@ -217,7 +228,8 @@ class RecordType:
                 raise VersionError(f"{self.record_name}: version {v} is newer than {self.version}")
             return df.select(*kept, *frame(v))
         at = policy.assume_version(F.col(version), assume or self.version)
-        return df.select(*kept, *self._by_version(at, {v: frame(v) for v in self._open(upgrade)}))
+        branches = {v: frame(v) for v in self._open(upgrade)}
+        return df.filter(self._admitted(at, dict.fromkeys(branches))).select(*kept, *self._by_version(at, branches))
 
     def _open(self, upgrade: bool) -> list[int]:
         found = []
@@ -229,15 +241,28 @@ class RecordType:
                 continue
         return found
 
+    def _no_branch(self, at: Column, stored: T.DataType) -> Column:
+        newer = fail(VersionError, f"{self.record_name}: version ", at, f" is newer than {self.version}")
+        older = fail(MigrationError, f"{self.record_name}: no migration from version ", at, " or it asks for an upgrade")
+        return F.when(at > self.version, newer.cast(stored)).otherwise(older.cast(stored))
+
+    def _admitted(self, at: Column, checks: dict[int, Column | None]) -> Column:
+        """A condition that is true, or raises: for versions without a branch, or by the check of theirs.
+
+        As a filter or round a whole value it holds whatever is read of a row.
+        """
+        case = F.when(F.lit(False), F.lit(True))
+        for v, check in checks.items():
+            case = case.when(at == v, F.lit(True) if check is None else check)
+        return case.otherwise(self._no_branch(at, T.BooleanType()))
+
     def _by_version(self, at: Column, branches: dict[int, list[Column]]) -> list[Column]:
         """Each field as a choice by version, with an error for versions that have no branch."""
         out = []
         for i, (name, tp) in enumerate(self.fields.items()):
             stored = spark_type(tp)
             values = {v: b[i].cast(stored) if not isinstance(stored, T.VariantType) else b[i] for v, b in branches.items()}
-            newer = fail(VersionError, f"{self.record_name}: version ", at, f" is newer than {self.version}")
-            older = fail(MigrationError, f"{self.record_name}: no migration from version ", at, " or it asks for an upgrade")
-            bad = F.when(at > self.version, newer.cast(stored)).otherwise(older.cast(stored))
+            bad = self._no_branch(at, stored)
             case = None
             for v, c in values.items():
                 case = F.when(at == v, c) if case is None else case.when(at == v, c)
@@ -251,15 +276,12 @@ class RecordType:
 
         return Frame({}, source, self.fields)
 
-    def _variant_fields(self, v: Column, version: int, upgrade: bool) -> list[Column]:
+    def _variant_fields(self, v: Column, version: int, upgrade: bool) -> tuple[list[Column], Column | None, Frame]:
+        """The fields of a document of a version, the check of its names, and the frame."""
         self._gate(version, upgrade)
         f = run(self.steps(version), self.variant_frame(v))
-        fields = self.finished(f)
         check = policy.check_unknown(env.field_names(v, self.envelope_key), self.known(f), self.unknown, self.record_name)
-        if check is not None and fields:
-            name = next(iter(self.fields))
-            fields[0] = F.when(check, fields[0]).alias(name)
-        return fields
+        return self.finished(f), check, f
 
     def load_variant(self, df: DataFrame, doc: str = "doc", *, assume: int | None = None, upgrade: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
         """Rows of documents in a VARIANT column, typed and at this version."""
@@ -267,15 +289,28 @@ class RecordType:
         at = policy.assume_version(env.read(v, "version", self.envelope_key), assume or self.version)
         later = env.read(v, "format", self.envelope_key)
         at = F.when(later.isNull(), at).otherwise(raised("int", BackendError, "document format ", later, " is newer than this reader"))
-        branches = {k: self._variant_fields(v, k, upgrade) for k in self._open(upgrade)}
-        return df.select(*(F.col(f"`{k}`") for k in keep), *self._by_version(at, branches))
+        made = {k: self._variant_fields(v, k, upgrade) for k in self._open(upgrade)}
+        rest = []
+        if self.unknown == "preserve":
+            case = F.lit(None).cast("map<string,variant>")
+            for k, (_, _, f) in made.items():
+                case = F.when(at == k, self._rest(v, f)).otherwise(case)
+            rest = [case.alias(REST)]
+        admitted = df.filter(self._admitted(at, {k: check for k, (_, check, _) in made.items()}))
+        return admitted.select(*(F.col(f"`{k}`") for k in keep), *self._by_version(at, {k: x[0] for k, x in made.items()}), *rest)
+
+    def _rest(self, v: Column, frame: Frame) -> Column:
+        """The fields of a document that the record type does not know."""
+        known = F.array(*(F.lit(k) for k in (*self.known(frame), *env.keys(self.envelope_key))))
+        return F.map_filter(F.variant_get(v, "$", "map<string,variant>"), lambda k, _: ~F.array_contains(known, k))
 
     def decode_variant(self, v: Column) -> Column:
         """A nested document as a struct at this version; its own envelope tells its version."""
         at = policy.assume_version(env.read(v, "version", self.envelope_key), self.version)
-        branches = {k: self._variant_fields(v, k, False) for k in self._open(False)}
-        made = F.struct(*self._by_version(at, branches))
-        return F.when(v.isNotNull() & F.schema_of_variant(v).isin("VOID").eqNullSafe(F.lit(False)), made)
+        found = {k: self._variant_fields(v, k, False) for k in self._open(False)}
+        made = F.struct(*self._by_version(at, {k: x[0] for k, x in found.items()}))
+        there = v.isNotNull() & F.schema_of_variant(v).isin("VOID").eqNullSafe(F.lit(False))
+        return F.when(there, F.when(self._admitted(at, {k: check for k, (_, check, _) in found.items()}), made))
 
 
 def record(version: int, *, name: str | None = None, **options: Any) -> Callable[[type], RecordType]:

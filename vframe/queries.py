@@ -7,7 +7,13 @@ row's version is made from its key.
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import enum
+import pathlib
+import re
+import typing
+import uuid
+import warnings
 from collections.abc import Callable
 from typing import Any, Literal
 
@@ -16,14 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vframe.functions import codecs
+from vframe.functions.types import NdArray
 from vframe.operators import arrays, graph, policy
 from vframe.plans import nested
 from vframe.plans.migration import Context, Migration, migration
-from vframe.plans.record import RecordType, fingerprint, fingerprint_column
+from vframe.plans.record import RecordType, fingerprint
 from vframe.sources import envelope as env
 from vframe.sources import formats
 from vframe.sources.scratch import folder
-from vframe.streaming.session import append_stream, last_values
+from vframe.streaming.session import Session, append_stream, last_values
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -264,37 +271,63 @@ def _round_trip(spark, d, name: str, fields: dict[str, Any], fmt: str, **options
     return formats.load(spark, r, path, format=fmt)
 
 
-@query("SELECT cast(r_regionkey AS bigint) AS r_regionkey, r_name FROM region")
+@query("SELECT event_id, ts, cast(user_id AS bigint) AS user_id, event_type, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events")
 def json_roundtrip(spark, d):
-    return _round_trip(spark, d, "region", {"r_regionkey": int, "r_name": str}, "json")
+    r = _record(1, {"event_id": int, "ts": dt.datetime, "user_id": int, "event_type": str, "value": float | None}, name="Event")
+    path = folder(spark, "json")
+    formats.save(_t(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value"))), r, path, format="json")
+    return formats.load(spark, r, path, format="json")
 
 
-NATION = {"n_nationkey": int, "n_name": str, "n_regionkey": int}
+PART = {"p_partkey": int, "p_name": str, "p_brand": str, "p_size": int, "p_retailprice": float}
+PART_SQL = "SELECT p_partkey, p_name, p_brand, cast(p_size AS bigint) AS p_size, p_retailprice FROM part"
 
 
-@query("SELECT cast(n_nationkey AS bigint) AS n_nationkey, n_name, cast(n_regionkey AS bigint) AS n_regionkey FROM nation")
+@query(PART_SQL)
 def yaml_roundtrip(spark, d):
-    return _round_trip(spark, d, "nation", NATION, "yaml")
+    return _round_trip(spark, d, "part", PART, "yaml")
 
 
-@query("SELECT cast(n_nationkey AS bigint) AS n_nationkey, n_name, cast(n_regionkey AS bigint) AS n_regionkey FROM nation")
+@query(PART_SQL)
 def toml_roundtrip(spark, d):
-    return _round_trip(spark, d, "nation", NATION, "toml")
+    return _round_trip(spark, d, "part", PART, "toml")
+
+
+def _written(spark, d, fmt: str, **options: Any) -> DataFrame:
+    """The texts of saved parts, one a row: p_partkey and text. Ten is the default of p_size."""
+    r = _record(1, {"p_partkey": int, "p_size": int}, name="Part", defaults={"p_size": 10}, **{k: options.pop(k) for k in ("skip_defaults",) if k in options})
+    path = folder(spark, fmt)
+    formats.save(r.migrate(_t(spark, d, "part"), 1), r, path, format=fmt, **options)
+    between = {"json": "\n", "yaml": "---\n", "toml": "# ---\n"}[fmt]
+    texts = spark.read.text(path, lineSep=between).filter(F.trim("value") != "")
+    return texts.select(F.regexp_extract("value", r"p_partkey\W+(\d+)", 1).cast("bigint").alias("p_partkey"), F.col("value").alias("text"))
 
 
-@query("SELECT cast(n_nationkey AS bigint) AS n_nationkey, n_name, cast(n_regionkey AS bigint) AS n_regionkey FROM nation")
+@query("SELECT p_partkey, p_size <> 10 AS has_size, p_size <> 10 AS has_it_by_name FROM part")
+def skip_defaults(spark, d):
+    """Fields at their default are not in the document that is written."""
+    size = F.get_json_object("text", "$.p_size").isNotNull()
+    return _written(spark, d, "json", skip_defaults=True).select("p_partkey", size.alias("has_size"), F.contains("text", F.lit("p_size")).alias("has_it_by_name"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size = 10 THEN '# p_size: 10' ELSE 'p_size: ' || p_size END AS line FROM part")
 def yaml_comment_defaults(spark, d):
-    return _round_trip(spark, d, "nation", NATION, "yaml", defaults={"n_regionkey": 1}, comment_defaults=True)
+    return _written(spark, d, "yaml", comment_defaults=True).select("p_partkey", F.regexp_extract("text", r"(?m)^.*p_size.*$", 0).alias("line"))
 
 
-@query("SELECT cast(n_nationkey AS bigint) AS n_nationkey, n_name, cast(n_regionkey AS bigint) AS n_regionkey FROM nation")
+@query("SELECT p_partkey, CASE WHEN p_size = 10 THEN '# p_size = 10' ELSE 'p_size = ' || p_size END AS line FROM part")
 def toml_comment_defaults(spark, d):
-    return _round_trip(spark, d, "nation", NATION, "toml", defaults={"n_regionkey": 1}, comment_defaults=True)
+    return _written(spark, d, "toml", comment_defaults=True).select("p_partkey", F.regexp_extract("text", r"(?m)^.*p_size.*$", 0).alias("line"))
 
 
-@query("SELECT p_partkey, p_name, cast(p_size AS bigint) AS p_size FROM part")
-def skip_defaults(spark, d):
-    return _round_trip(spark, d, "part", {"p_partkey": int, "p_name": str, "p_size": int}, "json", defaults={"p_size": 10}, skip_defaults=True)
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS is_nan, p_partkey % 3 = 1 AS is_infinite, CASE WHEN p_partkey % 3 = 2 THEN p_retailprice END AS price FROM part")
+def text_not_finite(spark, d):
+    """Doubles that are no number or not finite, through YAML."""
+    value = F.when(F.col("p_partkey") % 3 == 0, float("nan")).when(F.col("p_partkey") % 3 == 1, float("-inf")).otherwise(F.col("p_retailprice"))
+    r, path = _record(1, {"p_partkey": int, "price": float}, name="Priced"), folder(spark, "nan")
+    formats.save(_t(spark, d, "part").select("p_partkey", value.alias("price")), r, path, format="yaml")
+    x = F.col("price")
+    return formats.load(spark, r, path, format="yaml").select("p_partkey", F.isnan(x).alias("is_nan"), (x == float("-inf")).alias("is_infinite"), F.when(~F.isnan(x) & (x > 0), x).alias("price"))
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
@@ -321,8 +354,6 @@ def load_dynamic(spark, d):
 
 @query("SELECT vec_id, cast(label AS bigint) AS label FROM embeddings")
 def select_preload(spark, d):
-    from vframe.functions.types import NdArray
-
     r = _record(1, {"vec_id": int, "label": int, "embedding": NdArray("float32")}, defaults={"embedding": None})
     df = _t(spark, d, "embeddings")
     return r.migrate(df, 1, layouts={1: ["vec_id", "label"]}).select(*formats.selected(r, None, metadata_only=True))
@@ -380,12 +411,57 @@ def array_update(spark, d):
     return whole.select("doc_id", at(16, "before"), at(18, "changed"), at(20, "after"))
 
 
-@query("SELECT vec_id, cast(embedding[2] AS double) AS second, len(embedding) AS n FROM embeddings")
-def dtype_cast(spark, d):
-    from vframe.functions.types import DTYPES
+ARRAY_SQL = "SELECT vec_id, cast(embedding[2] AS double) AS second, cast(embedding[len(embedding)] AS double) AS last, len(embedding) AS n FROM embeddings"
+
+
+def _text_arrays(spark, d, fmt: str) -> DataFrame:
+    """Embeddings as marked archives in text documents, read back."""
+    r, path = _record(1, {"vec_id": int, "embedding": NdArray("float32")}, name="Vector"), folder(spark, fmt)
+    e = F.col("embedding")
+    array = F.struct(F.lit("float32").alias("dtype"), F.array(F.size(e)).alias("shape"), e.alias("data"))
+    formats.save(_t(spark, d, "embeddings").filter(e.isNotNull()).select("vec_id", array.alias("embedding")), r, path, format=fmt, mark_arrays=True)
+    data = F.col("embedding.data")
+    return formats.load(spark, r, path, format=fmt).select("vec_id", F.get(data, F.lit(1)).cast("double").alias("second"), arrays.element(data, -1).cast("double").alias("last"), F.get("embedding.shape", F.lit(0)).cast("bigint").alias("n"))
+
+
+@query(ARRAY_SQL)
+def json_ndarray(spark, d):
+    return _text_arrays(spark, d, "json")
 
-    wide = F.col("embedding").cast(T.ArrayType(DTYPES["float64"]))
-    return _t(spark, d, "embeddings").select("vec_id", F.get(wide, F.lit(1)).alias("second"), F.size(wide).cast("bigint").alias("n"))
+
+@query(ARRAY_SQL)
+def yaml_ndarray(spark, d):
+    return _text_arrays(spark, d, "yaml")
+
+
+@query(
+    """SELECT vec_id AS doc_id, list_transform(list_concat(embedding, [1.5, 2.5, 3.5, 4.5, 5.5])[len(embedding) - 1 : len(embedding) + 4], lambda x: cast(x AS double)) AS slice,
+    list_transform(list_concat(embedding[1 : len(embedding) - 1], [9, 9, 9, 3.5, 4.5, 5.5])[len(embedding) - 2 :], lambda x: cast(x AS double)) AS updated FROM embeddings"""
+)
+def array_append_slice(spark, d):
+    """Two appends, which leave short chunks behind, then a slice and an update over them."""
+    chunks = _chunked(spark, d)
+    n = _t(spark, d, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
+    for more in ((1.5,), (2.5, 3.5, 4.5, 5.5)):
+        ids = _t(spark, d, "embeddings").filter(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("doc_id"), F.array(*map(F.lit, more)).cast("array<float>").alias("vals"))
+        chunks = chunks.unionByName(arrays.append(chunks, ids, "embedding", 16, "float32"))
+    new = arrays.update(chunks, n - 1, n + 2, F.lit(9.0), 16)
+    after = chunks.join(new.select("doc_id", "chunk_no"), ["doc_id", "chunk_no"], "left_anti").unionByName(new.select(chunks.columns))
+    doubles = F.col("vals").cast("array<double>")
+    part = arrays.read_slice(chunks, n - 2, n + 4, 16).select("doc_id", doubles.alias("slice"))
+    return part.join(arrays.read_slice(after, n - 3, n + 5, 16).select("doc_id", doubles.alias("updated")), "doc_id")
+
+
+@query(ARRAY_SQL.replace("vec_id, cast", "vec_id AS doc_id, cast"))
+def dtype_cast(spark, d):
+    """Doubles that a session takes for an array of float32."""
+    r, path = _record(1, {"embedding": NdArray("float32")}, name="Held"), folder(spark, "dtype")
+    more = _t(spark, d, "embeddings").filter(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vals"))
+    with Session(spark, r, path, chunk_rows=16) as s:
+        s.append("embedding", more)
+        whole = s.array("embedding")
+    e = F.col("vals")
+    return whole.select("doc_id", F.get(e, F.lit(1)).cast("double").alias("second"), arrays.element(e, -1).cast("double").alias("last"), F.size(e).cast("bigint").alias("n"))
 
 
 # codecs
@@ -411,8 +487,6 @@ def codec_timedelta(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, cast(cast(round(l_extendedprice * 100) AS bigint) AS varchar) AS cents FROM lineitem")
 def codec_decimal(spark, d):
-    import decimal
-
     stored = F.round(F.col("l_extendedprice") * 100).cast("decimal(38,18)")
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", codecs.encode(stored, decimal.Decimal).alias("cents"))
 
@@ -443,10 +517,33 @@ def map_keys_cast(spark, d):
     return m.select("user_id", F.explode(codecs.encode(F.col("m"), dict[str, int])).alias("key", "n"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'bigint' ELSE 'string' END AS kind, CASE WHEN event_id % 2 = 0 THEN cast(event_id AS varchar) ELSE event_type END AS value FROM events")
+@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'BIGINT' ELSE 'STRING' END AS kind, CASE WHEN event_id % 2 = 0 THEN cast(event_id AS varchar) ELSE event_type END AS value FROM events")
 def union_decode(spark, d):
-    doc = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"'), F.col("event_id").cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
-    return _t(spark, d, "events").select("event_id", codecs.union_text(F.parse_json(doc), "bigint", "string").alias("u")).select("event_id", "u.*")
+    """A field of two types: the first that a value reads as."""
+    body = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.col("event_type"))
+    docs = _t(spark, d, "events").select(F.parse_json(F.to_json(F.struct(F.col("event_id").alias("id"), body.alias("u")))).alias("doc"))
+    got = _record(1, {"id": int, "u": int | str}, name="Either").load_variant(docs)
+    return got.select("id", F.schema_of_variant("u").alias("kind"), F.variant_get("u", "$", "string").alias("value"))
+
+
+@query(
+    """SELECT p_partkey AS id, printf('%02d:%02d:%02d', p_partkey % 24, p_partkey % 60, p_size % 60) AS at, '/' || p_brand || '/' || p_partkey AS path,
+    printf('%08d-0000-4000-8000-%012d', p_partkey, p_partkey) AS uid, '^' || p_brand || '$' AS pattern, p_partkey % 2 = 0 AS flag FROM part"""
+)
+def codec_text_types(spark, d):
+    """Times, paths, unique ids, patterns and Booleans, through JSON."""
+    key = F.col("p_partkey")
+    rows = _t(spark, d, "part").select(
+        key.alias("id"),
+        F.format_string("%02d:%02d:%02d", key % 24, key % 60, F.col("p_size") % 60).alias("at"),
+        F.concat(F.lit("/"), "p_brand", F.lit("/"), key.cast("string")).alias("path"),
+        F.format_string("%08d-0000-4000-8000-%012d", key, key).alias("uid"),
+        F.concat(F.lit("^"), "p_brand", F.lit("$")).alias("pattern"),
+        (key % 2 == 0).alias("flag"),
+    )
+    r, out = _record(1, {"id": int, "at": dt.time, "path": pathlib.PurePosixPath, "uid": uuid.UUID, "pattern": re.Pattern, "flag": bool}, name="Texts"), folder(spark, "texts")
+    formats.save(rows, r, out, format="json")
+    return formats.load(spark, r, out, format="json")
 
 
 class Cents:
@@ -476,6 +573,57 @@ def parquet_mixed_versions(spark, d):
     return formats.load(spark, new, path, format="parquet")
 
 
+STORED_NULL_SQL = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 7 WHEN 1 THEN NULL ELSE o_custkey END AS k FROM orders"
+
+
+def _old_orders(spark, d, narrow: RecordType, wide: RecordType, path: str, made: Callable[[RecordType, DataFrame], DataFrame]) -> None:
+    """A store of version 1 whose files have a field k, null or not, or have none."""
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 2, F.col("o_custkey")).alias("k"))
+    for part, r in ((o.filter("id % 3 = 0").drop("k"), narrow), (o.filter("id % 3 <> 0"), wide)):
+        formats.save(made(r, part), r, path, format="parquet", mode="append")
+
+
+@query(STORED_NULL_SQL)
+def add_null_present_parquet(spark, d):
+    """A stored null is present, in a file that has the column."""
+    path, step = folder(spark, "nulls"), {1: Migration().add("k", default=7)}
+    narrow, wide = (_record(1, f, name="Old") for f in ({"id": int}, {"id": int, "k": int | None}))
+    _old_orders(spark, d, narrow, wide, path, lambda r, df: df)
+    return formats.load(spark, _record(2, {"id": int, "k": int | None}, step, name="Old"), path, format="parquet")
+
+
+@query(STORED_NULL_SQL)
+def add_null_present_nested(spark, d):
+    """The same of records inside a record."""
+    path, step = folder(spark, "nulls"), {1: Migration().add("k", default=7)}
+    inner = [_record(1, f, name="In") for f in ({"id": int}, {"id": int, "k": int | None})]
+    narrow, wide = (_record(1, {"x": r}, name="Out") for r in inner)
+    _old_orders(spark, d, narrow, wide, path, lambda r, df: df.select(F.struct(*df.columns).alias("x")))
+    new = _record(2, {"id": int, "k": int | None}, step, name="In")
+    return formats.load(spark, _record(1, {"x": new}, name="Out"), path, format="parquet").select("x.*")
+
+
+@query("SELECT c_custkey AS id, upper(c_name) AS name, cast(c_nationkey AS bigint) + 1 AS nation, 'none' AS note FROM customer")
+def nested_deep(spark, d):
+    """Records in lists in maps in records, each level of an old version."""
+    leaf = _record(2, {"nation": int, "note": str}, {1: Migration().convert("nation", via=lambda c: c + 1).add("note", default="none")}, name="Leaf")
+    twig = _record(2, {"name": str, "leaves": list[leaf]}, {1: Migration().rename("title", "name").convert("name", via=F.upper)}, name="Twig")
+    tree = _record(2, {"id": int, "twigs": dict[str, twig]}, {1: Migration().rename("key", "id")}, name="Tree")
+    old = lambda name: F.struct(F.lit(name).alias("object"), F.lit(1).alias("version")).alias("__record__")
+    low = F.struct(F.col("c_nationkey").alias("nation"), old("Leaf"))
+    mid = F.struct(F.col("c_name").alias("title"), F.array(low).alias("leaves"), old("Twig"))
+    doc = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.create_map(F.lit("t"), mid).alias("twigs"), old("Tree")))
+    got = tree.load_variant(_t(spark, d, "customer").select(F.parse_json(doc).alias("doc")))
+    t = F.element_at("twigs", "t")
+    return got.select("id", t["name"].alias("name"), F.inline(t["leaves"]))
+
+
+@query("SELECT p_name AS key, replace(replace(replace(p_name || '/a.b%', '%', '%25'), '/', '%2F'), '.', '%2E') AS part, p_name || '/a.b%' AS back FROM part")
+def key_escapes(spark, d):
+    part = graph.key_to_path(F.concat("p_name", F.lit("/a.b%")))
+    return _t(spark, d, "part").select(F.col("p_name").alias("key"), part.alias("part"), graph.path_to_key(part).alias("back"))
+
+
 # policies
 
 
@@ -505,21 +653,190 @@ def unknown_keys(spark, d):
     return _t(spark, d, "events").select("event_id", F.array_join(policy.unknown_names(env.field_names(doc), ["k"]), ",").alias("unknown"))
 
 
-@query("SELECT r_name, substr(sha256('name:str,region:' || r_name), 1, 6) AS hash, 'ed3a90' AS known FROM region")
+@query("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN cast(event_id AS varchar) END AS kept, event_id % 2 = 0 AS written FROM events")
+def unknown_preserve(spark, d):
+    """Undeclared fields are kept and written again."""
+    doc = F.to_json(F.struct(F.col("event_id").alias("id"), F.when(F.col("event_id") % 2 == 0, F.col("event_id")).alias("more")))
+    r, path = _record(1, {"id": int}, name="Open", unknown="preserve"), folder(spark, "preserve")
+    got = r.load_variant(_t(spark, d, "events").select(F.parse_json(doc).alias("doc")))
+    formats.save(got, r, path, format="json")
+    back = formats.load(spark, r, path, format="json")
+    more = F.variant_get(F.try_element_at("_rest", F.lit("more")), "$", "string")
+    return back.select("id", more.alias("kept"), more.isNotNull().alias("written"))
+
+
+def _fails(action: Callable[[], Any], message: str) -> bool:
+    try:
+        action()
+    except Exception as e:  # noqa: BLE001
+        return message in str(e)
+    return False
+
+
+@query(
+    """SELECT * FROM (VALUES ('unknown, counted', true), ('unknown, another field', true), ('unknown, nested', true), ('unknown, ignored', false), ('newer, counted', true),
+    ('newer, typed and counted', true), ('missing', true), ('missing, nested', true), ('literal', true), ('literal, unchecked', false), ('enumeration', true), ('later format', true),
+    ('record as key', true), ('no chain', true), ('upgrade', true), ('hash', true), ('name taken', true), ('two steps', true), ('no array of that name', true), ('width', true)) t(what, raised)"""
+)
+def errors_raised(spark, d):
+    """What has to be an error is one, whatever is read of a row; and what is allowed is none."""
+    region = _t(spark, d, "region")
+    docs = region.select(F.parse_json(F.lit('{"a":1,"u":2,"more":3}')).alias("doc"))
+    both = {"a": int, "u": int}
+    strict, open_ = (_record(1, both, unknown=u) for u in ("error", "ignore"))
+    outer = _record(1, {"x": _record(1, both, unknown="error")})
+    inside = region.select(F.parse_json(F.lit('{"x":{"a":1,"u":2,"more":3}}')).alias("doc"))
+    newer = region.select(F.parse_json(F.lit('{"a":1,"u":2,"__record__":{"version":9}}')).alias("doc"))
+    later = region.select(F.parse_json(F.lit('{"a":1,"u":2,"__record__":{"version":1,"format":9}}')).alias("doc"))
+    few = region.select(F.parse_json(F.lit('{"a":1}')).alias("doc"))
+    few_inside = region.select(F.parse_json(F.lit('{"x":{"a":1}}')).alias("doc"))
+    word = region.select(F.parse_json(F.lit('{"w":"banana"}')).alias("doc"))
+    kind = Literal["fast", "slow"]
+    gated = _record(2, {"a": int}, {1: Migration().requires_upgrade()})
+    RecordType("Taken", 1, {"a": int}, old_names=("TakenBefore",))
+
+    def width():
+        return region.select(arrays.checked_width(F.array("r_regionkey"), 2).alias("x")).agg(F.max("x")).collect()
+
+    cases = {
+        "unknown, counted": _fails(lambda: strict.load_variant(docs).count(), "unknown fields more"),
+        "unknown, another field": _fails(lambda: strict.load_variant(docs).select("u").collect(), "unknown fields more"),
+        "unknown, nested": _fails(lambda: outer.load_variant(inside).select("x.u").collect(), "unknown fields more"),
+        "unknown, ignored": _fails(lambda: open_.load_variant(docs).collect(), ""),
+        "newer, counted": _fails(lambda: open_.load_variant(newer).count(), "newer than 1"),
+        "newer, typed and counted": _fails(lambda: open_.migrate(region.select(F.lit(1).alias("a"), F.lit(2).alias("u"), F.lit(9).alias("_v")), "_v").count(), "newer than 1"),
+        "missing": _fails(lambda: open_.load_variant(few).collect(), "u is missing"),
+        "missing, nested": _fails(lambda: _record(1, {"x": open_}).load_variant(few_inside).collect(), "u is missing"),
+        "literal": _fails(lambda: _record(1, {"w": kind}).load_variant(word).collect(), "banana"),
+        "literal, unchecked": _fails(lambda: _record(1, {"w": kind}, validate_literals=False).load_variant(word).collect(), ""),
+        "enumeration": _fails(lambda: _record(1, {"w": Size}).load_variant(word).collect(), "banana"),
+        "later format": _fails(lambda: open_.load_variant(later).collect(), "document format"),
+        "record as key": _fails(lambda: _record(1, {"m": dict[open_, int]}), "key of a map"),
+        "no chain": _fails(lambda: _record(3, both, {2: Migration()}).migrate(region, 1), "version"),
+        "upgrade": _fails(lambda: gated.migrate(region.select(F.lit(1).alias("a")), 1), "upgrade"),
+        "hash": _fails(lambda: _record(1, both, hash="000000"), "000000"),
+        "name taken": _fails(lambda: RecordType("TakenBefore", 1, {"a": int}), "taken"),
+        "two steps": _fails(lambda: RecordType("Twice", 2, {"a": int}, migrations=[migration(1)(lambda c: None), migration(1)(lambda c: None)], register=False), "two migrations"),
+        "no array of that name": _fails(lambda: formats.selected(open_, ["absent"], False), "absent"),
+        "width": _fails(width, "is not 2"),
+    }
+    return spark.createDataFrame(list(cases.items()), "what string, raised boolean")
+
+
+class Size(enum.Enum):
+    SMALL = "s"
+    LARGE = "l"
+
+
+# The payloads that fingerprints are made of.
+@query(
+    """SELECT n, substr(sha256(payload), 1, 6) AS hash FROM (VALUES (0, 'area:float,rooms:int'), (1, 'labels:list[str],owner:Union[None, str]'), (2, 'by:dict[str, int],flags:set[bool]'),
+    (3, 'at:datetime.datetime,day:datetime.date'), (4, 'mode:typing.Literal[fast, slow],raw:bytes'), (5, 'pair:tuple[int, str],price:decimal.Decimal')) t(n, payload)"""
+)
 def fingerprint_hash(spark, d):
-    known = fingerprint({"name": str, "debug": bool, "retries": int})
-    return _t(spark, d, "region").select("r_name", fingerprint_column(F.concat(F.lit("name:str,region:"), F.col("r_name"))).alias("hash"), F.lit(known).alias("known"))
+    """Fingerprints of record types by their fields' canonical names."""
+    fields = (
+        {"rooms": int, "area": float}, {"owner": typing.Optional[str], "labels": list[str]}, {"by": dict[str, int], "flags": set[bool]},
+        {"day": dt.date, "at": dt.datetime}, {"mode": Literal["fast", "slow"], "raw": bytes}, {"price": decimal.Decimal, "pair": tuple[int, str]},
+    )
+    return spark.createDataFrame([(i, fingerprint(f)) for i, f in enumerate(fields)], "n int, hash string")
+
+
+@query("SELECT name, loaded FROM (VALUES ('none', 'vec_id,label,embedding'), ('metadata', 'vec_id,label'), ('by name', 'vec_id,label,embedding'), ('no array', 'vec_id,label')) t(name, loaded)")
+def preload_names(spark, d):
+    """The columns of a load by what is asked for."""
+    r, path = _record(1, {"vec_id": int, "label": int, "embedding": NdArray("float32")}, name="Vec"), folder(spark, "vec")
+    e = F.struct(F.lit("float32").alias("dtype"), F.array(F.size("embedding")).alias("shape"), F.col("embedding").alias("data"))
+    formats.save(_t(spark, d, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("label"), e.alias("embedding")), r, path, format="parquet")
+    asked = {"none": {}, "metadata": {"metadata_only": True}, "by name": {"preload": ["embedding"]}, "no array": {"preload": []}}
+    return spark.createDataFrame([(n, ",".join(formats.load(spark, r, path, format="parquet", **o).columns)) for n, o in asked.items()], "name string, loaded string")
 
 
 # sessions
 
 
-@query("SELECT event_id, ts, value FROM events")
+def _session_record() -> RecordType:
+    return _record(1, {"title": str, "limit": int, "tags": list[str], "by": dict[str, int], "data": NdArray("float64")}, name="Ledger", defaults={"limit": 5})
+
+
+@query(
+    """SELECT 'title' AS field, NULL AS key, NULL AS idx, '"' || (SELECT max(r_name) FROM region) || '"' AS value UNION ALL SELECT 'limit', NULL, NULL, '8'
+    UNION ALL SELECT 'tags', NULL, r_regionkey, CASE WHEN r_regionkey = 1 THEN '"changed"' ELSE '"' || r_name || '"' END FROM region UNION ALL SELECT 'tags', NULL, 5, '"more"'
+    UNION ALL SELECT 'by', r_name, NULL, cast(r_regionkey * 10 AS varchar) FROM region WHERE r_regionkey <> 2"""
+)
+def session_state(spark, d):
+    """Scalars, a list and a map of a session that is closed and taken up again."""
+    r, path = _session_record(), folder(spark, "session")
+    rows = _t(spark, d, "region").orderBy("r_regionkey").collect()  # five
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        with Session(spark, r, path) as s:
+            s.set("title", "first")
+            s.set("limit", 8)
+            s.list("tags").extend(x["r_name"] for x in rows)
+            s.map("by").update({x["r_name"]: x["r_regionkey"] for x in rows})
+        with Session(spark, r, path, mode="resume") as s:
+            s.set("title", max(x["r_name"] for x in rows))
+            tags, by = s.list("tags"), s.map("by")
+            tags[1] = "changed"
+            tags.append("more")
+            by.update({x["r_name"]: x["r_regionkey"] * 10 for x in rows})
+            del by[rows[2]["r_name"]]
+        with Session(spark, r, path, mode="read") as s:
+            return s.state().select("field", "key", F.col("idx").cast("int").alias("idx"), "value")
+
+
+@query("SELECT vec_id AS doc_id, list_transform(list_concat(embedding, embedding[1:3]), lambda x: cast(x AS double)) AS vals FROM embeddings")
 def session_append(spark, d):
-    path, e = folder(spark, "append"), _t(spark, d, "events").select("event_id", "ts", "value")
-    e.filter("event_id % 2 = 0").write.mode("errorifexists").parquet(path)
-    e.filter("event_id % 2 = 1").write.mode("append").parquet(path)
-    return spark.read.schema(e.schema).parquet(path)
+    """Arrays that a session appends to, before and after it is taken up again."""
+    r, path = _session_record(), folder(spark, "session")
+    e = _t(spark, d, "embeddings").filter(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vals"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        with Session(spark, r, path, chunk_rows=16) as s:
+            s.append("data", e)
+        with Session(spark, r, path, mode="resume", chunk_rows=16) as s:
+            s.append("data", e.withColumn("vals", F.slice("vals", 1, 3)))
+            return s.array("data")
+
+
+@query(
+    """SELECT * FROM (VALUES ('created twice', true), ('resumed, none there', true), ('resumed, another version', true), ('resumed, the same', false), ('written while read', true),
+    ('written when closed', true), ('overwritten', false), ('unknown field', true), ('list shrinks', true), ('list by slice', true), ('warns of what is not set', true)) t(what, raised)"""
+)
+def session_modes(spark, d):
+    r, path, other = _session_record(), folder(spark, "session"), _record(2, _session_record().fields, name="Ledger")
+
+    def opened(mode: str, record: RecordType = r, place: str = path, then: Callable[[Session], Any] = lambda s: s.set("title", "t")) -> Any:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            with Session(spark, record, place, mode=mode) as s:
+                then(s)
+        return s
+
+    closed = opened("create")
+
+    def slice_(s: Session) -> None:
+        s.list("tags")[0:1] = ["x"]
+
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        with Session(spark, r, folder(spark, "session")) as s:
+            s.set("title", "t")
+    cases = {
+        "created twice": _fails(lambda: opened("create"), "already exists"),
+        "resumed, none there": _fails(lambda: opened("resume", place=f"{path}-none"), "no session"),
+        "resumed, another version": _fails(lambda: opened("resume", other), "not migrated"),
+        "resumed, the same": _fails(lambda: opened("resume"), ""),
+        "written while read": _fails(lambda: opened("read"), "reading only"),
+        "written when closed": _fails(lambda: closed.set("title", "x"), "closed"),
+        "overwritten": _fails(lambda: opened("overwrite"), ""),
+        "unknown field": _fails(lambda: opened("resume", then=lambda s: s.set("absent", 1)), "no field absent"),
+        "list shrinks": _fails(lambda: opened("resume", then=lambda s: s.list("tags").pop()), "only grows"),
+        "list by slice": _fails(lambda: opened("resume", then=slice_), "slice"),
+        "warns of what is not set": any("tags" in str(w.message) and "limit" not in str(w.message) for w in said),
+    }
+    return spark.createDataFrame(list(cases.items()), "what string, raised boolean")
 
 
 @query("SELECT event_id, ts, value FROM events")

@@ -34,7 +34,12 @@ def envelope(v: Column, key: str = ENVELOPE) -> Column:
     return F.struct(*(read(v, n, key).alias(n) for n in ("object", "version", "hash")))
 
 
+def keys(key: str = ENVELOPE) -> tuple[str, ...]:
+    """The keys of envelopes, the wrapper's and those of older files."""
+    return key, *LEGACY.values()
+
+
 def field_names(v: Column, key: str = ENVELOPE) -> Column:
     """A document's keys without those of envelopes."""
-    own = F.array(*(F.lit(k) for k in (key, *LEGACY.values())))
+    own = F.array(*(F.lit(k) for k in keys(key)))
     return F.array_except(F.json_object_keys(F.to_json(v)), own)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import enum
 import json
 import os
+import typing
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -19,9 +20,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vframe.errors import ArrayNotLoadedError, BackendError
+from vframe.errors import ArrayNotLoadedError, BackendError, raised
 from vframe.functions import codecs
-from vframe.plans.record import RecordType, registered
+from vframe.functions.types import is_array, is_union, members, unwrap
+from vframe.plans.record import REST, RecordType, registered
 from vframe.sources import envelope as env
 from vframe.sources import text
 
@@ -55,33 +57,51 @@ def format_for(path: str, explicit: str | None = None) -> Format:
     return _FORMATS[ending]
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("_path"), "value")
+def _texts(spark: SparkSession, path: str, **options: Any) -> DataFrame:
+    return spark.read.text(path, recursiveFileLookup=True, **options).select(F.input_file_name().alias("_path"), "value")
 
 
-def _parsed(parse: Callable[[str], list[str]]) -> Callable[[SparkSession, str], DataFrame]:
+def _parsed(parse: Callable[[str], list[str]], between: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Reads files of documents with a line ``between`` them; large files are split there."""
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def documents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
             yield b.map(parse)
 
     def read(spark: SparkSession, path: str) -> DataFrame:
-        rows = _whole(spark, path).select("_path", F.explode(documents("value")).alias("json"))
+        rows = _texts(spark, path, lineSep=f"\n{between}\n").select("_path", F.explode(documents("value")).alias("json"))
         return rows.select("_path", F.parse_json("json").alias("doc"))
 
     return read
 
 
-def _read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One document a file or, if a file has several, one a line."""
-    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
-    several = (F.size(lines) > 1) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
-    rows = _whole(spark, path).select("_path", F.explode(F.when(several, lines).otherwise(F.array("value"))).alias("line"))
-    doc = F.parse_json("line")
-    is_object = F.startswith(F.schema_of_variant(doc), F.lit("OBJECT"))
-    from vframe.errors import raised
+def _objects(rows: DataFrame, hint: str) -> DataFrame:
+    """Rows of _path and value (JSON) as documents; anything but an object is an error."""
+    rows = rows.select("_path", F.try_parse_json("value").alias("doc"))
+    is_object = F.coalesce(F.startswith(F.schema_of_variant("doc"), F.lit("OBJECT")), F.lit(False))
+    bad = F.parse_json(raised("string", BackendError, "the document is not an object in ", F.col("_path"), hint))
+    return rows.select("_path", F.when(is_object, F.col("doc")).otherwise(bad).alias("doc"))
+
+
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A document a line; large files are split between lines."""
+    return _objects(_texts(spark, path).filter(F.trim("value") != ""), "; documents of several lines are read as json-file")
+
+
+def _read_files(spark: SparkSession, path: str) -> DataFrame:
+    """A document a file, over any number of lines."""
+    return _objects(_texts(spark, path, wholetext=True), "")
+
 
-    return rows.select("_path", F.when(is_object, doc).otherwise(F.parse_json(raised("string", BackendError, "the document is not an object in ", F.col("_path")))).alias("doc"))
+def _read_json(spark: SparkSession, path: str) -> DataFrame:
+    """By lines or by files, as the first line that is read is a whole document or not."""
+    first = _texts(spark, path).filter(F.trim("value") != "").select("value").first()
+    try:
+        by_line = first is None or isinstance(json.loads(first["value"]), dict)
+    except ValueError:
+        by_line = False
+    return (_read_lines if by_line else _read_files)(spark, path)
 
 
 def _write_json(docs: DataFrame, path: str, mode: str, defaults: dict, key: str) -> None:
@@ -100,12 +120,37 @@ def _writer(emit: Callable[[dict, dict, str], str], between: str) -> Callable[[D
     return write
 
 
-register_format(["json", "jsonl"], Format("json", _read_json, _write_json))
-register_format(["yaml", "yml"], Format("yaml", _parsed(text.from_yaml), _writer(text.to_yaml, "---")))
-register_format(["toml"], Format("toml", _parsed(text.from_toml), _writer(text.to_toml, text.TOML_BREAK)))
+register_format(["json"], Format("json", _read_json, _write_json))
+register_format(["jsonl"], Format("jsonl", _read_lines, _write_json))
+register_format(["json-file"], Format("json-file", _read_files))
+register_format(["yaml", "yml"], Format("yaml", _parsed(text.from_yaml, "---"), _writer(text.to_yaml, "---")))
+register_format(["toml"], Format("toml", _parsed(text.from_toml, text.TOML_BREAK), _writer(text.to_toml, text.TOML_BREAK)))
 register_format(["parquet"], Format("parquet", lambda spark, path: spark.read.option("mergeSchema", "true").parquet(path)))
 
 
+# arrays in text formats
+
+
+def _has_arrays(tp: Any) -> bool:
+    tp = unwrap(tp)
+    return is_array(tp) or any(map(_has_arrays, tp.fields.values() if hasattr(tp, "record_name") else typing.get_args(tp)))
+
+
+@F.pandas_udf(T.StringType())
+def _opened(docs: pd.Series) -> pd.Series:
+    return docs.map(text.opened, na_action="ignore")
+
+
+def open_arrays(docs: DataFrame) -> DataFrame:
+    """Documents with their marked arrays as dtype, shape and data; only documents with a mark go to Python."""
+    rows = docs.withColumn("_json", F.to_json("doc"))
+    marked = F.lit(False)
+    for mark in text.NDARRAY_MARKS:
+        marked = marked | F.contains("_json", F.lit(mark))
+    rows = rows.withColumn("_json", _opened(F.when(marked, F.col("_json"))))
+    return rows.withColumn("doc", F.when(F.col("_json").isNull(), F.col("doc")).otherwise(F.parse_json("_json"))).drop("_json")
+
+
 # compression of the native store
 
 
@@ -173,19 +218,24 @@ def load(
     fmt = format_for(path, format)
     if fmt.name == "parquet":
         df = fmt.read(spark, path)
+        names = None
         if "_env" in df.columns:
             df = df.withColumn("_v", F.col("_env.version"))
+            if "fields" in df.schema["_env"].dataType.names:
+                names, df = "_names", df.withColumn("_names", F.col("_env.fields"))
             if strict:
                 df = df.filter(F.col("_env.object").isin(record.record_name, *record.old_names))
             df = df.drop("_env")
         mixed = "_v" in df.columns
-        out = record.migrate(df, "_v" if mixed else None, assume=assume, upgrade=upgrade, sparse=mixed)
+        out = record.migrate(df, "_v" if mixed else None, assume=assume, upgrade=upgrade, sparse=mixed, names=names)
     else:
         docs = fmt.read(spark, path)
+        if any(map(_has_arrays, record.fields.values())):
+            docs = open_arrays(docs)
         if strict:
             docs = docs.filter(env.read(F.col("doc"), "object", record.envelope_key).isin(record.record_name, *record.old_names))
         out = record.load_variant(docs, assume=assume, upgrade=upgrade)
-    return out.select(*selected(record, preload, metadata_only))
+    return out.select(*selected(record, preload, metadata_only), *(c for c in out.columns if c == REST))
 
 
 def load_dynamic(spark: SparkSession, path: str, *, format: str | None = None, base: RecordType | None = None, key: str = env.ENVELOPE, **options: Any) -> dict[str, DataFrame]:
@@ -224,10 +274,11 @@ def wire_default(value: Any) -> Any:
     return value if isinstance(value, (int, float, str, bool, type(None))) else str(value)
 
 
-def document(record: RecordType, skip_defaults: bool | None = None) -> Column:
+def document(record: RecordType, skip_defaults: bool | None = None, rest: bool = False) -> Column:
     """A row's document as JSON; its fields in order, the envelope last.
 
-    With ``skip_defaults`` top-level fields at their default are left out.
+    With ``skip_defaults`` top-level fields at their default are left out; with
+    ``rest`` the fields that a load preserved come before the envelope.
     """
     skip = record.skip_defaults if skip_defaults is None else skip_defaults
     parts = []
@@ -238,10 +289,33 @@ def document(record: RecordType, skip_defaults: bool | None = None) -> Column:
             default = F.to_json(F.struct(codecs.encode(codecs.literal(record.defaults[n], t), t).alias(n)), {"ignoreNullFields": "false"})
             inner = F.when(one != default, inner)
         parts.append(inner)
+    if rest:
+        kept = F.to_json(F.col(REST))
+        parts.append(F.when(F.size(REST) > 0, F.substr(kept, F.lit(2), F.length(kept) - 2)))
     envelope = F.to_json(F.struct(record.envelope_struct()))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts, F.substr(envelope, F.lit(2), F.length(envelope) - 2)), F.lit("}"))
 
 
+def _envelope(record: RecordType) -> Column:
+    """The envelope of a store, which lists the fields, as files of several versions are merged when read."""
+    return F.struct(F.lit(record.record_name).alias("object"), F.lit(record.version).alias("version"), F.lit(record.hash).alias("hash"), F.lit(list(record.fields)).alias("fields"))
+
+
+def _stored(c: Column, tp: Any) -> Column:
+    """A column for a store: records inside it get an envelope."""
+    tp = unwrap(tp)
+    origin, args = typing.get_origin(tp), typing.get_args(tp)
+    if is_union(tp) and len(members(tp)) == 1:
+        return _stored(c, members(tp)[0])
+    if hasattr(tp, "record_name"):
+        return F.when(c.isNotNull(), F.struct(*(_stored(c[n], t).alias(n) for n, t in tp.fields.items()), _envelope(tp).alias("_env")))
+    if origin in (list, tuple, set, frozenset) and hasattr(unwrap(args[0]), "record_name"):
+        return F.transform(c, lambda x: _stored(x, args[0]))
+    if origin is dict and hasattr(unwrap(args[1]), "record_name"):
+        return F.transform_values(c, lambda _, x: _stored(x, args[1]))
+    return c
+
+
 def save(
     df: DataFrame,
     record: RecordType,
@@ -251,17 +325,32 @@ def save(
     mode: str = "errorifexists",
     comment_defaults: bool = False,
     compression: Compression = GZIP_DEFAULT,
+    mark_arrays: bool | None = None,
 ) -> None:
-    """Rows of the record type as documents, or as Parquet with their envelope."""
+    """Rows of the record type as documents, or as Parquet with their envelope.
+
+    Arrays become marked archives, as ``mark_arrays`` says; by default in YAML
+    and TOML, while JSON keeps them as dtype, shape and data.
+    """
     fmt = format_for(path, format)
     if fmt.name == "parquet":
-        envelope = record.envelope_struct().alias("_env")
-        df.select(*record.fields, envelope).write.mode(mode).options(**compression.options()).parquet(path)
+        fields = [_stored(F.col(f"`{n}`"), t).alias(n) for n, t in record.fields.items()]
+        df.select(*fields, _envelope(record).alias("_env")).write.mode(mode).options(**compression.options()).parquet(path)
         return
     if fmt.write is None:
         raise BackendError(f"format {fmt.name} cannot be written")
     defaults = {n: wire_default(v) for n, v in record.defaults.items()} if comment_defaults else {}
-    fmt.write(df.select(document(record).alias("value")), path, mode, defaults, record.envelope_key)
+    docs = df.select(document(record, rest=REST in df.columns).alias("value"))
+    arrays = record.arrays()
+    if arrays and (fmt.name in ("yaml", "toml") if mark_arrays is None else mark_arrays):
+
+        @F.pandas_udf(T.StringType())
+        def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for b in batches:
+                yield b.map(lambda x: text.marked(x, arrays))
+
+        docs = docs.select(marked("value").alias("value"))
+    fmt.write(docs, path, mode, defaults, record.envelope_key)
 
 
 def rewrite(spark: SparkSession, record: RecordType, source: str, target: str, **options: Any) -> None:

@@ -20,25 +20,28 @@ from vframe.errors import BackendError
 
 # Marks of values that a text format cannot hold itself.
 JSON_MARKS = ("__ver_json__", "__json__")
-NDARRAY_MARK = "__ver_ndarray__"
+NDARRAY_MARKS = ("__ver_ndarray__", "__ndarray__")
 TOML_BREAK = "# ---"
 
 
 def plain(x: Any) -> Any:
-    """A parsed value as JSON: native dates become ISO text, marked JSON is unwrapped, arrays are opened."""
+    """A parsed value as JSON: native dates become ISO text, marked JSON is unwrapped, arrays are opened.
+
+    Values that are not finite become text, which a field of floats reads back.
+    """
     if isinstance(x, dict):
         for mark in JSON_MARKS:
             if set(x) == {mark}:
                 return plain(json.loads(x[mark]))
-        if NDARRAY_MARK in x and isinstance(x.get("data"), str):
-            return array_from_blob(x)
+        if any(x.get(mark) for mark in NDARRAY_MARKS) and isinstance(x.get("data"), str):
+            return plain(array_from_blob(x))
         return {str(k): plain(v) for k, v in x.items()}
     if isinstance(x, (list, tuple, set)):
         return [plain(v) for v in x]
     if isinstance(x, (dt.datetime, dt.date, dt.time)):
         return x.isoformat()
     if isinstance(x, float) and not math.isfinite(x):
-        return None if math.isnan(x) else str(x)
+        return "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"
     return x
 
 
@@ -55,7 +58,21 @@ def array_to_blob(dtype: str, shape: list[int], data: list) -> dict:
     a = np.array(data, dtype=dtype).reshape(shape)
     out = io.BytesIO()
     np.savez(out, a)
-    return {NDARRAY_MARK: True, "dtype": dtype, "shape": list(shape), "data": base64.b64encode(out.getvalue()).decode()}
+    return {NDARRAY_MARKS[0]: True, "dtype": dtype, "shape": list(shape), "data": base64.b64encode(out.getvalue()).decode()}
+
+
+def marked(doc: str, fields: list[str]) -> str:
+    """A document with the arrays of some fields as marked archives."""
+    x = json.loads(doc)
+    for f in fields:
+        if isinstance(v := x.get(f), dict) and isinstance(v.get("data"), list):
+            x[f] = array_to_blob(v["dtype"], v["shape"], [complex(*p) if isinstance(p, list) else p for p in v["data"]])
+    return json.dumps(x)
+
+
+def opened(doc: str | None) -> str | None:
+    """A document with its marked archives opened; null stays."""
+    return None if doc is None else json.dumps(plain(json.loads(doc)))
 
 
 def _roots(found: list[Any]) -> list[str]:
@@ -78,7 +95,7 @@ def from_yaml(text: str) -> list[str]:
 
 def from_toml(text: str) -> list[str]:
     parts, held = [], []
-    for line in text.splitlines():
+    for line in text.split("\n"):  # no other line end: a string may hold those
         if line.strip() == TOML_BREAK:
             parts.append("\n".join(held))
             held = []
