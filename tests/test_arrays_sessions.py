@@ -1,5 +1,6 @@
 """Chunked arrays, sessions, nested migration of typed columns, polymorphism."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,27 @@ def test_session(spark, tmp_path):
         s.set("name", "n")
 
 
+def test_session_of_several_axes(spark, tmp_path):
+    record = RecordType("Grid", 1, {"name": str, "rows": NdArray("int32"), "columns": NdArray("float64"), "flat": NdArray("float32"), "tags": list[str]}, register=False)
+    path, rng = f"file://{tmp_path}/g", np.random.default_rng(4)
+    rows, columns = [rng.integers(0, 99, (n, 3)) for n in (4, 1, 6)], [rng.random((2, n, 3)) for n in (5, 2, 1)]
+    with Session(spark, record, path, chunk_rows={"rows": 3, "columns": 2}, axis={"columns": 1}) as s:
+        s.populate({"name": "g", "rows": rows[0], "columns": columns[0], "flat": [1.5, 2.5], "tags": ["a", "b"]})
+        s.append("rows", rows[1])
+    for i in (1, 2):
+        with Session(spark, record, path, mode="resume", chunk_rows={"rows": 3, "columns": 2}) as s:  # the axis is kept
+            s.append("columns", columns[i])
+    with Session(spark, record, path, mode="resume", chunk_rows=3) as s:
+        s.append("rows", rows[2])
+        with pytest.raises(BackendError):
+            s.append("rows", np.zeros((2, 4)))
+    with Session(spark, record, path, mode="read") as s:
+        assert (s.ndarray("rows") == np.concatenate(rows)).all() and (s.ndarray("columns") == np.concatenate(columns, axis=1)).all()
+        assert s.ndarray("flat").tolist() == [1.5, 2.5] and s.ndarray("rows").dtype == np.int32
+        assert state(s) == {("name", None, None): '"g"', ("tags", None, 0): '"a"', ("tags", None, 1): '"b"'}
+        assert {r["start"] for r in s.chunks("rows").collect()} == {0, 3, 4, 5, 8}
+
+
 def test_polymorphic(spark):
     animal = RecordType("Animal", 1, {"name": str}, register=False)
     dog = RecordType("Dog", 2, {"sound": str}, base=animal, migrations={1: Migration().rename("bark", "sound")}, register=False, old_names=("Hound",))

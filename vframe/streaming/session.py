@@ -1,7 +1,9 @@
 """Sessions: a record that grows in place and can be taken up again.
 
 A session keeps under its path an envelope, a log of changes to scalars, lists
-and maps, and chunk rows for arrays. All writes are appends of whole batches,
+and maps, and chunk rows for arrays. An array of several axes grows along one,
+which its first append settles and later sessions keep; a chunk holds whole
+slices along it, flat. All writes are appends of whole batches,
 so a lost executor or driver leaves the last flushed state. The current state
 is the last change for each key.
 """
@@ -13,11 +15,12 @@ import warnings
 from collections.abc import Iterable
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vframe.errors import BackendError, VersionError
-from vframe.functions.types import spark_type
+from vframe.functions.types import is_array, spark_type
 from vframe.operators import arrays
 from vframe.plans.record import RecordType
 from vframe.sources.formats import GZIP_DEFAULT, Compression, wire_default
@@ -86,12 +89,21 @@ class TrackedDict:
 
 
 class Session:
-    """``mode`` is create, overwrite, resume or read."""
+    """``mode`` is create, overwrite, resume or read.
 
-    def __init__(self, spark: SparkSession, record: RecordType, path: str, mode: str = "create", compression: Compression = GZIP_DEFAULT, chunk_rows: int | None = None):
+    ``chunk_rows`` is a number for all arrays or one for each field; ``axis``
+    names the axis along which a field's array grows, where its first append
+    does not tell.
+    """
+
+    def __init__(
+        self, spark: SparkSession, record: RecordType, path: str, mode: str = "create", compression: Compression = GZIP_DEFAULT,
+        chunk_rows: int | dict[str, int] | None = None, axis: dict[str, int] | None = None,
+    ):
         if mode not in ("create", "overwrite", "resume", "read"):
             raise BackendError(f"no such mode: {mode}")
         self.spark, self.record, self.path, self.mode, self.compression, self.chunk_rows = spark, record, path.rstrip("/"), mode, compression, chunk_rows
+        self.axis = dict(axis or {})
         self._held: list[tuple] = []
         self._closed, self._seq = False, 0
 
@@ -161,6 +173,14 @@ class Session:
         else:
             self._change(field, "set", value)
 
+    def populate(self, values: dict[str, Any]) -> None:
+        """Everything that an instance holds: arrays are appended, all else is set."""
+        for field, value in values.items():
+            if is_array(self.record.fields.get(field)):
+                self.append(field, value)
+            else:
+                self.set(field, value)
+
     def list(self, field: str) -> TrackedList:
         return TrackedList(self, field)
 
@@ -174,19 +194,69 @@ class Session:
         n = self._live().filter((F.col("field") == field) & F.col("idx").isNotNull()).agg(F.max("idx")).first()[0]
         return 0 if n is None else n + 1
 
-    def append(self, field: str, values: DataFrame | list, doc_id: int = 0) -> None:
-        """More elements of an array: a list, or a frame of doc_id and vals."""
+    def append(self, field: str, values: DataFrame | np.ndarray | list, doc_id: int = 0) -> None:
+        """More elements of an array: a frame of doc_id and vals (one axis), or an array of the driver's.
+
+        An array has any number of axes; all but the one that grows must be as
+        they were.
+        """
         self._open()
         tp = self.record.fields[field]
         element = spark_type(tp)["data"].dataType.elementType
-        dtype = tp.dtype
-        more = values if isinstance(values, DataFrame) else self.spark.createDataFrame([(doc_id, list(values))], "doc_id bigint, vals array<double>")
-        more = more.select("doc_id", F.col("vals").cast(f"array<{element.simpleString()}>").alias("vals"))
-        rows = arrays.chunk_rows((0,), dtype, 0, self.chunk_rows)
-        if self._exists("chunks"):
-            self._write(arrays.append(self.chunks(field), more, field, rows, dtype), "chunks")
+        own = self.chunk_rows.get(field) if isinstance(self.chunk_rows, dict) else self.chunk_rows
+        before = self._exists("chunks")
+        if not isinstance(values, DataFrame):
+            new = np.asarray(values, dtype=tp.dtype)
+            if new.ndim > 1:
+                self._append_slices(field, new, doc_id, own)
+                return
+            values = self.spark.createDataFrame([(doc_id, new.tolist())], f"doc_id bigint, vals array<{element.simpleString()}>")
+        more = values.select("doc_id", F.col("vals").cast(f"array<{element.simpleString()}>").alias("vals"))
+        rows = arrays.chunk_rows((0,), tp.dtype, 0, own)
+        if before:
+            self._write(arrays.append(self.chunks(field), more, field, rows, tp.dtype), "chunks")
         else:
-            self._write(arrays.to_chunks(more.withColumnRenamed("vals", field), "doc_id", field, rows, dtype), "chunks")
+            self._write(arrays.to_chunks(more.withColumnRenamed("vals", field), "doc_id", field, rows, tp.dtype), "chunks")
+
+    def _append_slices(self, field: str, new: np.ndarray, doc_id: int, rows: int | None) -> None:
+        tp = self.record.fields[field]
+        last = self.chunks(field).filter(F.col("doc_id") == doc_id).orderBy(F.desc("chunk_no")).select("shape", "chunk_no").first() if self._exists("chunks") else None
+        stored = self._axis(field)
+        if last is None:
+            axis = stored if stored is not None else arrays.append_axis(new.shape, self.axis.get(field))
+            have, number = tuple(0 if i == axis else n for i, n in enumerate(new.shape)), 0
+        else:
+            axis, have, number = stored or 0, tuple(last["shape"]), last["chunk_no"] + 1
+        if stored is None:
+            self._change(field, "axis", axis)
+            self.flush()
+        shape = arrays.appended_shape(have, new.shape, axis)
+        moved = np.moveaxis(new, axis, 0)
+        step = arrays.chunk_rows(shape, tp.dtype, axis, rows)
+        found = [(doc_id, field, number + i, have[axis] + low, tp.dtype, list(shape), moved[low : low + step].ravel().tolist()) for i, low in enumerate(range(0, len(moved), step))]
+        element = spark_type(tp)["data"].dataType.elementType.simpleString()
+        schema = f"doc_id bigint, field string, chunk_no int, start int, dtype string, shape array<int>, vals array<{element}>"
+        if found:
+            self._write(self.spark.createDataFrame(found, schema), "chunks")
+
+    def _axis(self, field: str) -> int | None:
+        """The axis that an earlier append settled."""
+        if not self._exists("log"):
+            return None
+        row = self.log().filter((F.col("field") == field) & (F.col("op") == "axis")).orderBy("seq").first()
+        return None if row is None else int(json.loads(row["value"]))
+
+    def ndarray(self, field: str, doc_id: int = 0) -> np.ndarray:
+        """One array as it is now, in the driver."""
+        if self._closed:
+            raise BackendError("the session is closed")
+        parts = self.chunks(field).filter(F.col("doc_id") == doc_id).orderBy("chunk_no").select("shape", "vals").collect()
+        dtype = self.record.fields[field].dtype
+        if not parts:
+            return np.zeros(0, dtype=dtype)
+        shape, axis = tuple(parts[-1]["shape"]), self._axis(field) or 0
+        flat = np.array([x for p in parts for x in p["vals"]], dtype=dtype)
+        return np.moveaxis(flat.reshape((shape[axis], *(n for i, n in enumerate(shape) if i != axis))), 0, axis)
 
     def flush(self) -> None:
         if self._held:
@@ -200,7 +270,8 @@ class Session:
         """Changes since each field's last clearing."""
         log = self.log()
         cleared = log.filter(F.col("op") == "clear").groupBy("field").agg(F.max("seq").alias("since"))
-        return log.join(F.broadcast(cleared), "field", "left").filter((F.col("op") != "clear") & (F.col("seq") > F.coalesce("since", F.lit(-1)))).drop("since")
+        # a row for each field at most
+        return log.join(F.broadcast(cleared), "field", "left").filter(~F.col("op").isin("clear", "axis") & (F.col("seq") > F.coalesce("since", F.lit(-1)))).drop("since")
 
     def state(self) -> DataFrame:
         """field, key, idx and value (JSON) as they are now."""
