@@ -70,6 +70,44 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint"), Scratch(spark)).count() == 0
 
 
+def test_a_large_group_of_near_copies_takes_bounded_memory():
+    """2,000 variants of a long text in one cell, most pairs below the threshold and none joined yet."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(5), 1024
+    base = rng.integers(0, 1 << 62, 2000)
+    own, held, minhash = [], [], MinHash(neardup.BANDS, neardup.ROWS)
+    for _ in range(n):
+        x = base.copy()
+        x[rng.choice(2000, 115, replace=False)] = rng.integers(0, 1 << 62, 115)
+        held.append(np.unique(x.astype(np.uint64)))
+        own.append(minhash.sign(held[-1]))
+    s = np.stack(own)
+    s[:, : neardup.ROWS] = s[0, : neardup.ROWS]  # all are in one bucket of band 0
+    ints = lambda v, t: pa.array(np.full(n, v), t)
+    ids = pa.array(np.arange(n))
+    cell = [ints(0, pa.int32()), ints(1, pa.int64()), ints(0, pa.int32()), ints(0, pa.int32()), ints(0, pa.int32()), ids, ids, pa.array([len(x) for x in held], pa.int64()), pa.array([x.tobytes() for x in s], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(cell, names=["band", "bucket", "i", "j", "block", "doc_id", "label", "n_shingles", "signature"])
+    limits = neardup.least_agreements(0.8, 1e-6, neardup.BANDS * neardup.ROWS)
+    sets_ = pa.array([x.tobytes() for x in held], pa.binary())
+    tracemalloc.start()
+    paired = list(neardup._partners(0.8, limits)(iter([batch])))
+    first = tracemalloc.get_traced_memory()[1]
+    full = pa.RecordBatch.from_arrays([*paired[0].columns, sets_.take(paired[0].column(5))], names=[*paired[0].schema.names, "set"])
+    links = [r for b in neardup._links_within(80)(iter([full])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    second = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first < 60e6 and second < 250e6, (first, second)
+    plain = {x: set(h.tolist()) for x, h in enumerate(held)}
+    common = lambda a, b: len(plain[a] & plain[b])
+    assert all(100 * (c := common(a, b)) >= 80 * (len(plain[a]) + len(plain[b]) - c) for a, b in links)
+    sample = [(a, b) for a in range(0, 60) for b in range(a + 1, 60) if 100 * (c := common(a, b)) >= 80 * (len(plain[a]) + len(plain[b]) - c)]
+    least = closure(range(n), links)
+    assert len(links) < n and sample and all(least[a] == least[b] for a, b in sample)
+
+
 def test_near_duplicates(spark):
     rng = np.random.default_rng(4)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
@@ -113,6 +151,39 @@ def points(spark):
     return x, df
 
 
+def test_search_with_several_hashes(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_CELL", 1)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 1500)] + 0.4 * rng.normal(size=(1500, 16))).astype(np.float32)
+    assert ann.hashes(len(x), 16) == 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0, k=5).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hit = 0
+    for q in range(0, 1500, 50):
+        score = vectors.cosine(np.repeat(x[q : q + 1], len(x), axis=0), x)
+        best = [i for i in np.lexsort((np.arange(len(x)), -score)).tolist() if i != q][:5]
+        rows = sorted(found[q])
+        assert [r[0] for r in rows] == [1, 2, 3, 4, 5] and all(r[2] == score[r[1]] for r in rows)
+        hit += len({r[1] for r in rows} & set(best))
+    assert hit >= 0.9 * 5 * 30
+    u = vectors.units(x[:50])
+    assert (ann.probes(u, 3, 7, 9, 2)[:, :, 0] == ann.cells(u, 3, 7, 2)).all()
+
+
+def test_ties_of_a_hot_vector_take_bounded_memory():
+    import tracemalloc
+
+    rows = np.ones((8192, 64), dtype=np.float32)
+    tracemalloc.start()
+    q, found, score = ann.best(rows[:256], np.arange(256), rows, np.arange(8192), 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6 and len(q) == 5 * 256 and set(found.tolist()) == set(range(6)) and np.allclose(score, 1)
+
+
 def test_search(points):
     x, df = points
     got = {}
@@ -191,3 +262,39 @@ def test_pipeline(spark):
     total = seen["packing"].agg(F.sum("length")).first()[0]
     per = {r["doc_id"]: r["doc_tokens"] for r in seen["packing"].select("doc_id", "doc_tokens").distinct().collect()}
     assert total == sum(per[r["doc_id"]] * r["count"] for r in mixed)
+
+
+@pytest.mark.parametrize("name", ["op2_chat_format", "op6_minhash_dedup", "op9_embedding_dedup"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    from vframe.llm.queries import oracle_sql, queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(oracle_sql()[name])
+    got = queries()[name](spark, SF)
+    assert sorted(map(str, map(tuple, got.select(*want.columns).collect()))) == sorted(map(str, want.fetchall()))
+
+
+def test_queries_of_the_rest(spark):
+    """Columns, rows and invariants of the queries without SQL, over their whole tables."""
+    import zlib
+
+    from vframe.llm.queries import queries
+
+    own, docs = queries(), spark.read.parquet(f"{SF}/documents.parquet")
+    n, ids = docs.count(), {r["doc_id"] for r in docs.select("doc_id").collect()}
+    one = own["op1_language_id"](spark, SF).collect()
+    assert {r["doc_id"] for r in one} == ids and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and 0 <= r["score"] <= 1 for r in one)
+    lang = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in one if r["held_out"]]) >= 0.9
+    five = own["op5_mix_sources"](spark, SF).collect()
+    assert {r["doc_id"] for r in five} == ids and all(r["taken"] in (0, r["size"], 2 * r["size"]) and len(r["shards"]) * r["size"] == r["taken"] for r in five)
+    four = sorted(own["op4_token_store"](spark, SF).collect())
+    assert [r["doc_id"] for r in four] == sorted(ids) and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(four, four[1:], strict=False))
+    eight = own["op8_pack"](spark, SF).collect()
+    assert sum(r["length"] for r in eight) == sum(r["n_tokens"] for r in four) and "within" not in own["op8_pack"](spark, SF).columns
+    assert own["op7_secret_scan"](spark, SF).count() == own["op10_pii_pseudonyms"](spark, SF).count() == n
+    assert {r["query_id"] for r in own["op3_cross_polytope"](spark, SF).collect()} == {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").select("vec_id").collect()}

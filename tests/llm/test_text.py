@@ -282,6 +282,37 @@ def test_language_rejects(spark, real):
     assert {r["doc_id"] for r in langid.keep_known(both, model).collect()} == {r["doc_id"] for r in real.collect()} | {-6}
 
 
+def test_language_by_plain_loops():
+    """Kernels as sets, the landmarks' Gram matrix and ridge regression written out."""
+    rng = np.random.default_rng(2)
+    letters = {"aa": "abcdeé", "bb": "acefgh", "cc": "bdghij"}
+    text = lambda g: " ".join("".join(rng.choice(list(letters[g]), int(rng.integers(2, 6)))) for _ in range(int(rng.integers(3, 12))))
+    langs = ["aa", "bb", "cc"] * 14
+    texts = [text(g) for g in langs]
+    new = [text(g) for g in ("aa", "bb", "cc")] * 3 + ["Zzz qq, xyz!", "éé 12 a"]
+
+    def runs(t):
+        s = f" {re.sub('[^a-zé]+', ' ', t.lower()).strip()} "
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    def kernel(a, b):
+        return len(a & b) / np.sqrt(len(a) * len(b))
+
+    model = langid.fit(texts, langs, landmarks=9)
+    marks = [runs(t) for t in texts[:9]]
+    values, vectors = np.linalg.eigh([[kernel(a, b) for b in marks] for a in marks])
+    ok = values > 1e-6 * values.max()
+    features = lambda t: np.append(np.array([kernel(runs(t), b) for b in marks]) @ (vectors[:, ok] / np.sqrt(values[ok])), 1.0)
+    x = np.array([features(t) for t in texts])
+    goal = np.array([[1.0 if g == h else -1.0 for h in letters] for g in langs])
+    weight = np.full((len(texts), 1), 1 / 14)
+    solved = np.linalg.solve(x.T @ (weight * x) + langid.RIDGE * np.eye(x.shape[1]), x.T @ (weight * goal))
+    want = np.array([features(t) @ solved for t in new])
+    got, scores = langid.predict(model, new)
+    assert got == [list(letters)[i] for i in want.argmax(axis=1)]
+    assert np.allclose(scores, np.clip((1 + want.max(axis=1)) / 2, 0, 1), atol=2e-3)
+
+
 def test_language_of_many_letters():
     rng = np.random.default_rng(6)
     alphabets = {"aa": range(0x4E00, 0x4E00 + 60), "bb": range(0x5E00, 0x5E00 + 60), "cc": range(0xAC00, 0xAC00 + 60), "dd": range(0x0430, 0x0450)}
@@ -342,6 +373,51 @@ def test_pii(spark):
     assert pii.redact(empty(df), "key").count() == 0 and pii.redact(df, "key").columns == df.columns
 
 
+def test_equal_numbers_stay_linked(spark):
+    groups = {
+        "phone": ["+1 743 555-3824", "+17435553824", "(743) 555-3824", "743-555-3824", "743.555.3824", "1-743-555-3824", "+1-743-5553824"],
+        "world": ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+44 (20) 79460958"],
+        "card": ["4111111111111111", "4111-1111-1111-1111", "4111 1111 1111 1111"],
+        "date": ["2024-03-25", "03/25/2024", "25.03.2024"],
+    }
+    rows = [(f"{k} {i}", f"see {v} there") for k, vs in groups.items() for i, v in enumerate(vs)] + [("mail", "a " + "bob@" + "a-b." * 30 + "museum z")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r["doc_id"]: r["text"][4:-6] for r in pii.pseudonymise(df, "k").collect()}
+    for kind, values in groups.items():
+        found = [got[f"{kind} {i}"] for i in range(len(values))]
+        if kind == "date":
+            digits = {found[0].replace("-", ""), "".join(found[1].split("/")[i] for i in (2, 0, 1)), "".join(reversed(found[2].split(".")))}
+        else:
+            digits = {re.sub("[^0-9]", "", f)[-15 if kind != "phone" else -10 :] for f in found}
+        assert len(digits) == 1, (kind, found)
+        assert all(re.sub(r"\d", "9", f) == re.sub(r"\d", "9", v) and f != v for f, v in zip(found, values, strict=True))
+    mail = pii.pseudonymise(df.filter("doc_id = 'mail'"), "k").first()["text"]
+    assert re.fullmatch(r"a [a-z]{3}@(a-b\.){30}museum z", mail) and "bob" not in mail
+
+
+def test_feistel_by_hand(spark):
+    """North American numbers by a Feistel network in plain Python."""
+
+    def prf(i, value):
+        return int(hashlib.sha256(f"k|nanp|{i}|{value}|k".encode()).hexdigest()[:15], 16)
+
+    def permuted(x, a, b):
+        left, right = divmod(x, b)
+        for i in range(pii.ROUNDS):
+            if i % 2 == 0:
+                left = (left + prf(i, right)) % a
+            else:
+                right = (right + prf(i, left)) % b
+        return left * b + right
+
+    numbers = [(200, 200, 0), (999, 999, 9999), (743, 555, 3824), (212, 867, 5309)]
+    df = spark.createDataFrame([(i, f"{a}-{o}-{n:04d}") for i, (a, o, n) in enumerate(numbers)], "doc_id int, text string")
+    for r in pii.pseudonymise(df, "k").collect():
+        a, o, n = numbers[r["doc_id"]]
+        x = permuted(((a - 200) * 800 + o - 200) * 10_000 + n, 80_000, 80_000)
+        assert r["text"] == f"{x // 8_000_000 + 200}-{x // 10_000 % 800 + 200}-{x % 10_000:04d}"
+
+
 def test_feistel_is_a_permutation(spark):
     for a, b in ((10, 10), (100, 10), (189, 3)):
         got = spark.range(a * b).select(pii.permuted(F.col("id"), a, b, "k", "t").alias("y")).collect()
@@ -381,6 +457,53 @@ def test_secrets(spark, docs, real):
     assert secret_scan.digest(secret_scan.find_secrets(docs, None)).count() == len(TEXTS)
 
 
+def test_field_finds_held_out_secrets(real):
+    texts = [r["text"] for r in real.collect()]
+    model, rng = secret_scan.learn(texts[:120]), np.random.default_rng(31)
+    hit = missed = wrong = 0
+    for text in texts[120:] * 3:
+        body, planted, _ = secret_scan._with_secrets(text, rng)
+        spans = secret_scan.scan([body], model)[0]
+        base_, own = [s for s in spans if s[2] != "crf"], [s for s in spans if s[2] == "crf"]
+        for a, b in planted:
+            if not any(s < b and e > a for s, e, _ in base_):
+                found = any(s < b and e > a for s, e, _ in own)
+                hit, missed = hit + found, missed + (not found)
+        wrong += sum(not any(s < b and e > a for a, b in planted) for s, e, _ in own)
+    assert hit / (hit + missed) >= 0.9 and hit / (hit + wrong) >= 0.9
+    lookalikes = [f"see {secret_scan._lookalike(rng)} there" for _ in range(400)]
+    assert sum(map(bool, secret_scan.scan(lookalikes, model))) <= 20
+    assert secret_scan.scan([None, "", " ", "x" * 200_000], model) == [[]] * 4
+
+
+def test_likelihood_by_enumeration():
+    import itertools
+
+    from vframe.llm import crf
+
+    rng = np.random.default_rng(8)
+    features, lengths = rng.integers(0, 9, (3, 4, 2)), np.array([4, 1, 3])
+    tags = np.array([[0, 1, 2, 0], [1, 0, 0, 0], [0, 0, 1, 0]])
+    weights, moves = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
+
+    def score(w, path, weights, moves):
+        chain = [0, *path, 0]
+        return sum(weights[features[w, i, g], t] for i, t in enumerate(path) for g in range(2)) + sum(moves[a, b] for a, b in itertools.pairwise(chain))
+
+    def whole(weights, moves):
+        return sum(
+            score(w, tags[w, : lengths[w]], weights, moves) - np.log(sum(np.exp(score(w, p, weights, moves)) for p in itertools.product(range(3), repeat=int(lengths[w])))) for w in range(3)
+        )
+
+    found, by_weight, by_move = crf.likelihood(features, tags, lengths, weights, moves)
+    assert found == pytest.approx(whole(weights, moves))
+    for at, grad, which in ((weights, by_weight, 0), (moves, by_move, 1)):
+        for i in np.ndindex(at.shape):
+            moved = at.copy()
+            moved[i] += 1e-6
+            assert (whole(*((moved, moves) if which == 0 else (weights, moved))) - found) / 1e-6 == pytest.approx(grad[i], abs=1e-4)
+
+
 def test_windows_are_exact():
     from vframe.llm import crf
 

@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table's hash applies three rounds of random signs and a fast Hadamard
-transform to a unit vector and takes the nearest signed axis as its cell.
+A hash applies three rounds of random signs and a fast Hadamard transform to a
+unit vector and takes the nearest signed axis. A table's cell is one hash or,
+as the rows grow, several together, so that cells do not grow with the table.
 Every row is indexed in every table. A query probes the cells of a table in
-order of nearness; how many is fitted: on a bounded sample of rows the
+order of nearness, which is the sum of what each hash's axis falls short of
+the nearest, squared; how many is fitted: on a bounded sample of rows the
 smallest number is taken that reaches ``recall`` against brute force. Cells
 hold blocks of a bounded number of rows (a large cell has several), queries
 stream past a block, and each keeps its best of a block; the candidates are
@@ -36,6 +38,8 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 512
 BLOCK = 8192
 #: Pairs that are scored exactly at a time.
 PAIRS = 1 << 15
+#: Rows of a cell that another hash divides, and the most probes of a table with several hashes.
+PER_CELL, MOST_PROBES = 64, 1024
 #: Where queries are compared with all rows, a block has no fewer than this.
 LEAST_BLOCK = 256
 
@@ -61,23 +65,39 @@ def rotated(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return y
 
 
-def cells(x: np.ndarray, tables: int, seed: int) -> np.ndarray:
-    """The nearest signed axis of each row in each table: the axis, or the axis + n if negative."""
-    out = np.empty((len(x), tables), dtype=np.int32)
+def hashes(rows: int, width: int) -> int:
+    """How many hashes a cell of so many rows' table has."""
+    axes = 2 << max(0, int(width - 1).bit_length())
+    return max(1, int(np.log(max(rows / PER_CELL, 1)) / np.log(axes)))
+
+
+def cells(x: np.ndarray, tables: int, seed: int, m: int = 1) -> np.ndarray:
+    """The cell of each row in each table: of each of its hashes the nearest axis, or the axis + n if negative."""
+    out = np.zeros((len(x), tables), dtype=np.int64)
     for t in range(tables):
-        y = rotated(x, t, seed)
-        axis = np.abs(y).argmax(axis=1)
-        out[:, t] = axis + y.shape[1] * (y[np.arange(len(y)), axis] < 0)
+        for h in range(m):
+            y = rotated(x, t * m + h, seed)
+            axis = np.abs(y).argmax(axis=1)
+            out[:, t] = out[:, t] * 2 * y.shape[1] + axis + y.shape[1] * (y[np.arange(len(y)), axis] < 0)
     return out
 
 
-def probes(x: np.ndarray, tables: int, seed: int, count: int) -> np.ndarray:
+def probes(x: np.ndarray, tables: int, seed: int, count: int, m: int = 1) -> np.ndarray:
     """The ``count`` nearest cells of each row in each table, nearest first."""
     found = []
     for t in range(tables):
-        y = rotated(x, t, seed)
-        found.append(np.argsort(-np.concatenate((y, -y), axis=1), axis=1, kind="stable")[:, :count])
-    return np.stack(found, axis=1).astype(np.int32)
+        cell, off = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
+        for h in range(m):
+            y = rotated(x, t * m + h, seed)
+            both = np.concatenate((y, -y), axis=1)
+            axis = np.argsort(-both, axis=1, kind="stable")[:, :count]
+            value = np.take_along_axis(both, axis, axis=1)
+            cell = (cell[:, :, None] * both.shape[1] + axis[:, None, :]).reshape(len(x), -1)
+            off = (off[:, :, None] + ((value[:, :1] - value) ** 2)[:, None, :]).reshape(len(x), -1)
+            order = np.argsort(off, axis=1, kind="stable")[:, :count]
+            cell, off = np.take_along_axis(cell, order, axis=1), np.take_along_axis(off, order, axis=1)
+        found.append(cell)
+    return np.stack(found, axis=1)
 
 
 def best(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,26 +140,31 @@ def _nearest(q: np.ndarray, r: np.ndarray, queries: np.ndarray, rows: np.ndarray
     return q[kept], ids[r[kept]], score[kept]
 
 
-def fit_probes(ids: np.ndarray, sample: np.ndarray, tables: int, seed: int, k: int, recall: float) -> int:
-    """The smallest number of probes a table that reaches ``recall`` on the sample."""
+def fit_probes(ids: np.ndarray, sample: np.ndarray, tables: int, seed: int, k: int, recall: float, m: int = 1) -> int | None:
+    """The smallest number of probes a table that reaches ``recall`` on the sample; None if no number of them does."""
     n = min(SAMPLE_QUERIES, len(sample))
     x = vectors.units(sample)
     q, found, _ = best(sample[:n], ids[:n], sample, ids, k)
     place = {v: i for i, v in enumerate(ids.tolist())}
-    cell = cells(x, tables, seed)
-    order = probes(x[:n], tables, seed, 1 << 30)
-    rank = np.argsort(order, axis=2)  # of each cell for each query and table
+    cell = cells(x, tables, seed, m)
     r = np.array([place[v] for v in found.tolist()], dtype=np.int64)
-    need = np.min([rank[q, t, cell[r, t]] for t in range(tables)], axis=0) + 1 if len(q) else np.zeros(0, np.int64)
-    total = order.shape[2]
-    return next((c for c in range(1, total) if len(need) and (need <= c).mean() >= recall), total)
-
-
-def _index(tables: int, seed: int):
+    need = np.full(len(q), np.inf)
+    for low in range(0, n, 16):
+        order = probes(x[low : low + 16], tables, seed, 1 << 30 if m == 1 else MOST_PROBES, m)
+        for i in np.flatnonzero((q >= low) & (q < low + 16)).tolist():
+            hit = order[q[i] - low] == cell[r[i]][:, None]
+            need[i] = np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, np.inf).min()
+    if not len(need):
+        return 1
+    least = np.sort(need)[max(0, int(np.ceil(recall * len(need))) - 1)]
+    return None if np.isinf(least) else int(least)
+
+
+def _index(tables: int, seed: int, m: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for rows, x in vectors.by_width(b.column(1)):
-                found = cells(vectors.units(x), tables, seed)
+                found = cells(vectors.units(x), tables, seed, m[x.shape[1]])
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).take(pa.array(rows)),
@@ -153,21 +178,22 @@ def _index(tables: int, seed: int):
     return run
 
 
-def _probe(tables: int, seed: int, count: dict[int, int]):
+def _probe(tables: int, seed: int, count: dict[int, int], m: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             width = b.column(1).to_numpy()
             for w in np.unique(width).tolist():
-                rows = np.flatnonzero(width == w)
-                x = np.stack([np.frombuffer(b.column(2)[int(i)].as_buffer(), "<f4") for i in rows])
-                found = probes(vectors.units(x), tables, seed, count[w])
-                n = found.shape[1] * found.shape[2]
-                table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), found.shape[2]), len(rows))
-                own = pa.array(np.repeat(rows, n))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(own), b.column(1).take(own), b.column(2).take(own), pa.array(table), pa.array(found.reshape(-1))],
-                    names=["vec_id", "width", "vector", "table", "cell"],
-                )
+                own = np.flatnonzero(width == w)
+                for i in range(0, len(own), 16):
+                    rows = own[i : i + 16]
+                    x = np.stack([np.frombuffer(b.column(2)[int(r)].as_buffer(), "<f4") for r in rows])
+                    found = probes(vectors.units(x), tables, seed, count[w], m[w])
+                    table = np.tile(np.repeat(np.arange(tables, dtype=np.int32), found.shape[2]), len(rows))
+                    each = pa.array(np.repeat(rows, found.shape[1] * found.shape[2]))
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(each), b.column(1).take(each), b.column(2).take(each), pa.array(table), pa.array(found.reshape(-1))],
+                        names=["vec_id", "width", "vector", "table", "cell"],
+                    )
 
     return run
 
@@ -204,27 +230,28 @@ def search(
     of ``data`` (vec_id, embedding) for which ``is_query`` holds."""
     spark = data.sparkSession
     scratch = scratch or Scratch(spark)
-    indexed = scratch.table(vectors.read(data).mapInArrow(_index(tables, seed), "vec_id bigint, width int, vector binary, cells array<int>"), "indexed")
-    rows = indexed.select("vec_id", "width", "vector", F.posexplode("cells").alias("table", "cell"))
-    # one row for each cell: twice the padded width for a table
-    counts = indexed.select("width", F.posexplode("cells").alias("table", "cell")).groupBy("width", "table", "cell").count()
-    blocks = spark.createDataFrame(
-        [(*c[:3], -(-c[3] // BLOCK)) for c in counts.collect()], "width int, table int, cell int, blocks int"
-    )
-    totals = dict(indexed.groupBy("width").count().collect())
-    count = {}
+    read = vectors.read(data)
+    totals = dict(read.groupBy(F.size("embedding")).count().collect())  # a row for each length of vectors
+    m, count = {w: hashes(n, w) for w, n in totals.items()}, {}
     for width, n in totals.items():
         drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "vec_id"), 11) / float(1 << 53) < SAMPLE_ROWS / n
-        sample = indexed.filter((F.col("width") == width) & drawn).select("vec_id", "vector").collect()
-        sample.sort(key=lambda r: (hash((r[0] * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFF), r[0]))
-        x = np.stack([np.frombuffer(r[1], "<f4") for r in sample])
-        count[width] = fit_probes(np.array([r[0] for r in sample]), x, tables, seed, k, recall)
+        sample = read.filter((F.size("embedding") == width) & drawn).select("vec_id", F.xxhash64("vec_id").alias("h"), "embedding").collect()
+        sample.sort(key=lambda r: (r["h"], r["vec_id"], r["embedding"]))
+        x, ids = np.array([r["embedding"] for r in sample], dtype=np.float32).reshape(-1, width), np.array([r["vec_id"] for r in sample], dtype=np.int64)
+        while (found := fit_probes(ids, x, tables, seed, k, recall, m[width])) is None:
+            m[width] -= 1  # with one hash all cells can be probed
+        count[width] = found
+    indexed = scratch.table(read.mapInArrow(_index(tables, seed, m), "vec_id bigint, width int, vector binary, cells array<bigint>"), "indexed")
+    rows = indexed.select("vec_id", "width", "vector", F.posexplode("cells").alias("table", "cell"))
+    counts = indexed.select("width", F.posexplode("cells").alias("table", "cell")).groupBy("width", "table", "cell").count()
+    # as many rows as cells are occupied; broadcast by Spark where it is small
+    blocks = scratch.table(counts.select("width", "table", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "blocks")
     asked = indexed.filter(is_query).select("vec_id", "width", "vector").mapInArrow(
-        _probe(tables, seed, count), "vec_id bigint, width int, vector binary, table int, cell int"
+        _probe(tables, seed, count, m), "vec_id bigint, width int, vector binary, table int, cell bigint"
     )
     cell, key = ["width", "table", "cell"], ["width", "table", "cell", "block", "is_query"]
-    placed = rows.join(F.broadcast(blocks), cell).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("is_query", F.lit(0))
-    probing = asked.join(F.broadcast(blocks), cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(1))
+    placed = rows.join(blocks, cell).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("is_query", F.lit(0))
+    probing = asked.join(blocks, cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("is_query", F.lit(1))
     both = placed.select(*key, "vec_id", "vector").unionByName(probing.select(*key, "vec_id", "vector"))
     result = scratch.table(_ranked(_searched(both, key, k), k), "found")
     # queries that found fewer than k of the rows there are
@@ -235,7 +262,7 @@ def search(
     short = scratch.table(short.filter((n < k) & (n < F.col("total") - 1)).select("vec_id", "width", "vector", "blocks"), "short")
     if short.isEmpty():
         return result
-    none = [F.lit(0).alias("table"), F.lit(0).alias("cell")]
+    none = [F.lit(0).alias("table"), F.lit(0).cast("bigint").alias("cell")]
     all_rows = indexed.join(F.broadcast(sizes), "width").join(F.broadcast(short.select("width").distinct()), "width")
     placed = all_rows.select("width", *none, F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("is_query"), "vec_id", "vector")
     asking = short.select("width", *none, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("is_query"), "vec_id", "vector")

@@ -104,8 +104,11 @@ def _threes(x: np.ndarray) -> np.ndarray:
     return x[2 * len(x) // 3 + 1 :]
 
 
-def _normalised(presence: np.ndarray) -> np.ndarray:
-    return presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))
+def _distinct(found: np.ndarray, place: np.ndarray) -> int:
+    """How many distinct runs a text has; ``place`` is scratch with an entry for each run there can be."""
+    order = np.arange(len(found), dtype=place.dtype)
+    place[found] = order
+    return int((place[found] == order).sum())
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model:
@@ -132,7 +135,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
     for i, x in enumerate(found):
         at = slot[x]
         presence[i, at[at >= 0]] = 1
-    presence = _normalised(presence)
+    presence /= np.sqrt([[len(x)] for x in found]).astype(np.float32)
     marks = presence[chosen].T.copy()
     holders = np.append((marks > 0).sum(axis=1), 0)  # the last for runs of no column
     own = np.isin(np.arange(len(texts)), chosen)
@@ -150,7 +153,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> Model
     return Model(letters, names, slot, marks, np.vstack((root @ solved[:-1], solved[-1:])).astype(np.float32), least)
 
 
-_TABLES: dict[str, np.ndarray] = {}
+_TABLES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -165,25 +168,27 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
     none of whose letters a landmark has is never alike.
     """
     if model.letters not in _TABLES:
-        _TABLES[model.letters] = symbols(model.letters)
-    table, base = _TABLES[model.letters], len(model.letters) + 2
+        _TABLES[model.letters] = symbols(model.letters), np.zeros(len(model.slot), dtype=np.int32)
+    (table, place), base = _TABLES[model.letters], len(model.letters) + 2
     langs, scores, alike = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
     if not model.langs:
         return langs, scores, alike
-    step = max(8, min(BATCH, (1 << 24) // max(1, model.landmarks.shape[0])))  # of a bounded matrix
+    # texts are taken so many at a time that their matrix is bounded
+    step = max(8, min(BATCH, (1 << 24) // max(1, model.landmarks.shape[0])))
     for i in range(0, len(texts), step):
         part = texts[i : i + step]
-        presence, rows, shares = np.zeros((len(part), model.landmarks.shape[0]), dtype=np.float32), [], []
+        presence, rows, shares, own = np.zeros((len(part), model.landmarks.shape[0]), dtype=np.float32), [], [], []
         for j, t in enumerate(part):
             found = codes(t, table, base) if t else None
             if found is not None:
                 at = model.slot[found]
                 presence[len(rows), at[at >= 0]] = 1
                 rows.append(i + j)
+                own.append([_distinct(found, place)])
                 threes = _threes(at)
                 letter = (at >= 0) & (found > 0)
                 shares.append(((threes >= 0).mean() if letter[: len(threes) + 2].any() else -1.0, len(threes)))
-        kernel = _normalised(presence[: len(rows)]) @ model.landmarks
+        kernel = presence[: len(rows)] / np.sqrt(own or np.ones((0, 1))).astype(np.float32) @ model.landmarks
         values = kernel @ model.coefficients[:-1] + model.coefficients[-1]
         best = values.argmax(axis=1) if len(rows) else []
         for j, k in enumerate(best):
