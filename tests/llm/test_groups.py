@@ -258,7 +258,11 @@ def test_pipeline(spark):
     assert set(private) == ids["near_duplicates"] and "555-3824" not in private[10_004]
     mixed = seen["mixture"].groupBy("doc_id").count().collect()
     assert max(r["count"] for r in mixed) <= 2 and ids["mixture"] <= set(private)
-    assert all(d.columns == docs.columns for n, d in seen.items() if n != "packing")
+    assert all(d.columns == [*docs.columns, *(["shard"] if n == "mixture" else [])] for n, d in seen.items() if n != "packing")
+    pieces = seen["packing"]
+    assert pieces.groupBy("sequence_id").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0] == 1
+    tokens = lambda df, n: {(r["doc_id"], r["shard"]): r["n"] for r in df.groupBy("doc_id", "shard").agg(n.alias("n")).collect()}
+    assert tokens(pieces, F.sum(F.when(F.col("start") == 0, 1).otherwise(0))) == tokens(seen["mixture"], F.count("*"))
     total = seen["packing"].agg(F.sum("length")).first()[0]
     per = {r["doc_id"]: r["doc_tokens"] for r in seen["packing"].select("doc_id", "doc_tokens").distinct().collect()}
     assert total == sum(per[r["doc_id"]] * r["count"] for r in mixed)
