@@ -35,3 +35,15 @@ def test_data_source(spark, tmp_path):
     datasource.register(spark)
     rows = spark.read.format("vframe").load(str(tmp_path)).collect()
     assert sorted(r["doc"] for r in rows) == ['{"name": "x"}', '{"name": "y"}', '{"name": "z"}']
+
+
+def test_shared_records_without_a_cycle_are_not_walked(spark):
+    """Twenty diamonds in a row: 2 ** 20 ways, none of which comes back; then a cycle at their end."""
+    rows = [(3 * i, f, None, 3 * i + j) for i in range(20) for f, j in (("left", 1), ("right", 2))] + [(3 * i + j, "next", None, 3 * i + 3) for i in range(20) for j in (1, 2)]
+    schema = "parent bigint, field string, key string, child bigint"
+    edges = spark.createDataFrame(rows, schema)
+    assert graph.lasting(edges).count() == 0
+    starts = spark.createDataFrame([(0,)], "id bigint")
+    assert graph.cycles(edges, starts).count() == 0
+    looped = spark.createDataFrame([(1, "a", None, 2), (2, "b", None, 3), (3, "c", "k", 2), (3, "d", None, 4)], schema)
+    assert [tuple(r) for r in graph.cycles(looped, spark.createDataFrame([(1,)], "id bigint")).collect()] == [(1, "a.b.c['k']")]

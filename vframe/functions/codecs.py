@@ -259,12 +259,3 @@ def union(v: Column, tp: Any) -> Column:
         tried.append(F.parse_json(F.to_json(F.struct(F.try_variant_get(v, "$", stored.simpleString()).alias("x")))))
     found = [F.when(F.try_variant_get(x, "$.x", "string").isNotNull(), F.variant_get(x, "$.x", "variant")) for x in tried]
     return F.coalesce(*found, v) if found else v
-
-
-def union_text(v: Column, *stored: str) -> Column:
-    """The first of several types that a value decodes to, as (kind, text)."""
-    out = F.lit(None)
-    for s in reversed(stored):
-        got = F.try_variant_get(v, "$", s)
-        out = F.when(got.isNotNull(), F.struct(F.lit(s).alias("kind"), got.cast("string").alias("value"))).otherwise(out)
-    return out

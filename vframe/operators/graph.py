@@ -1,12 +1,16 @@
 """Records that refer to records: cycles and their paths.
 
-Structs cannot hold a cycle, so graphs are edges (parent, field, child). A
-walk from each start takes one step a round and ends where it comes back to a
-record that it has passed.
+Structs cannot hold a cycle, so graphs are edges (parent, field, child). Edges
+that lead to no cycle are taken away first, so that a graph without cycles is
+never walked, however often its records are shared. A walk from each start
+then takes one step a round and ends where it comes back to a record that it
+has passed.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,21 @@ def step(path: Column, field: Column, key: Column | None = None) -> Column:
     return F.when(key.isNull(), named).otherwise(F.concat(named, index))
 
 
+def lasting(edges: DataFrame) -> DataFrame:
+    """The edges from which a walk can go on for ever: into a cycle, or within one.
+
+    Each round takes away the edges to records that refer to nothing, and is
+    written to the shared folder; there are as many rounds as the longest way
+    that leads to no cycle.
+    """
+    spark, root, left, n = edges.sparkSession, folder(edges.sparkSession, "edges"), edges, None
+    for i in itertools.count():
+        left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select(edges.columns).write.parquet(f"{root}/{i}")
+        left = spark.read.schema(edges.schema).parquet(f"{root}/{i}")
+        if n == (n := left.count()):
+            return left
+
+
 def returns(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """start, node, steps and path of each way from a start back to a record on it.
 
@@ -30,7 +49,7 @@ def returns(edges: DataFrame, starts: DataFrame) -> DataFrame:
     ``starts`` has id. Walks go on until none is left: none passes a record
     twice, so they end. Each round is written to the shared folder.
     """
-    spark, root = edges.sparkSession, folder(edges.sparkSession, "walks")
+    spark, root, edges = edges.sparkSession, folder(edges.sparkSession, "walks"), lasting(edges)
     walks = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("seen"), F.lit("").alias("path"))
     rounds: list[str] = []
     schema = None

@@ -17,6 +17,7 @@ import warnings
 from collections.abc import Callable
 from typing import Any, Literal
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -800,6 +801,27 @@ def session_append(spark, d):
             return s.array("data")
 
 
+@query(
+    """SELECT r_regionkey * 2 AS pos, cast(r_regionkey AS bigint) AS a, cast(length(r_name) AS bigint) AS b FROM region
+    UNION ALL SELECT r_regionkey * 2 + 1, r_regionkey * 10, length(r_name) FROM region"""
+)
+def session_axes(spark, d):
+    """An array of two axes that grows along the second, filled from an instance and by sessions that took it up again."""
+    r, path = _record(1, {"title": str, "grid": NdArray("int64")}, name="Grid"), folder(spark, "session")
+    rows = _t(spark, d, "region").orderBy("r_regionkey").collect()  # five
+    pairs = [np.array([[x["r_regionkey"], x["r_regionkey"] * 10], [len(x["r_name"])] * 2]) for x in rows]
+    with Session(spark, r, path, axis={"grid": 1}, chunk_rows=3) as s:
+        s.populate({"title": "g", "grid": pairs[0]})
+    for one in pairs[1:]:
+        with Session(spark, r, path, mode="resume", chunk_rows=3) as s:
+            s.append("grid", one)
+    with Session(spark, r, path, mode="read") as s:
+        flat = s.chunks("grid").select("start", F.posexplode("vals").alias("i", "v"))
+    at = (F.col("start") + F.floor(F.col("i") / 2)).cast("int")
+    each = flat.groupBy(at.alias("pos")).agg(F.max(F.when(F.col("i") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("i") % 2 == 1, F.col("v"))).alias("b"))
+    return each.select("pos", "a", "b")
+
+
 @query(
     """SELECT * FROM (VALUES ('created twice', true), ('resumed, none there', true), ('resumed, another version', true), ('resumed, the same', false), ('written while read', true),
     ('written when closed', true), ('overwritten', false), ('unknown field', true), ('list shrinks', true), ('list by slice', true), ('warns of what is not set', true)) t(what, raised)"""
