@@ -11,10 +11,11 @@ Other files encode whole texts. Either way the ids come from the library.
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,13 @@ MAX_WORDS = 600_000
 #: Longer chunks are encoded but not kept.
 MAX_WORD_BYTES = 64
 #: Bytes of text, or a single text, that are encoded together.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Marks that are taken off a chunk's end.
 MARKS = b".,;:!?|"
 #: Letters that normalizing leaves as they are, but for their case: of ASCII and two Latin blocks, but two.
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f]+")
-#: Words of plain letters that are encoded in one text.
-TOGETHER = 2048
+#: Words of plain letters that are encoded in one text, and texts that are encoded in one call.
+TOGETHER, CALL = 2048, 8
 
 # Parts of tokenizer files under which chunks are independent.
 _SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
@@ -64,14 +65,17 @@ def by_chunk(file: dict) -> bool:
 
 def gathered(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The runs of ``values`` one after another."""
-    end = np.cumsum(length)
-    return values[np.repeat(start - (end - length), length) + np.arange(end[-1] if len(end) else 0)]
+    end = np.cumsum(length, dtype=np.int32)
+    at = np.repeat((start - (end - length)).astype(np.int32, copy=False), length)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at]
 
 
 class Encoder:
     """Encodes texts to unsigned 32-bit ids."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         file = json.loads(self.tokenizer.to_str())
         self.by_word = by_chunk(file)
@@ -90,13 +94,20 @@ class Encoder:
         self.last: dict[str, bool] = {}
         self.place: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, dtype="<u4")
-        self.start, self.length, self.met = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+        self.start, self.length, self.met = (np.zeros(1 << 14, dtype=np.int32) for _ in range(3))
         self.used = 0  # of ids
 
+    def _ids(self, tokenizer: Tokenizer, texts: list[str], at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of texts, in calls of a bounded size, for the library's results are large."""
+        parts, n = [np.zeros(0, dtype="<u4")], []
+        for i in range(0, len(texts), at_once):
+            ids = [e.ids for e in tokenizer.encode_batch_fast(texts[i : i + at_once], add_special_tokens=False)]
+            n += map(len, ids)
+            parts.append(np.fromiter(itertools.chain.from_iterable(ids), dtype="<u4", count=sum(map(len, ids))))
+        return np.concatenate(parts), np.array(n, dtype=np.int64)
+
     def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        return np.array([i for x in ids for i in x], dtype="<u4"), np.array([len(x) for x in ids], dtype=np.int64)
+        return self._ids(self.tokenizer, [t.decode("utf-8", "replace") for t in texts], CALL * TOGETHER if self.by_word else 256)
 
     def _letter(self, c: str) -> bool:
         """Whether a mark after this letter is cut from it, whatever is before: not where it is decomposed."""
@@ -120,8 +131,7 @@ class Encoder:
         texts = [w.decode("utf-8", "replace") for w in words]
         plain = np.fromiter((PLAIN.fullmatch(t) is not None for t in texts), dtype=bool, count=len(words))
         own = [t.lower() if self.folds else t for t, p in zip(texts, plain.tolist(), strict=True) if p]
-        found = self.quick.encode_batch_fast([" ".join(own[i : i + TOGETHER]) for i in range(0, len(own), TOGETHER)], add_special_tokens=False)
-        ids = np.array([i for e in found for i in e.ids], dtype="<u4")
+        ids, _ = self._ids(self.quick, [" ".join(own[i : i + TOGETHER]) for i in range(0, len(own), TOGETHER)], CALL)
         end = np.flatnonzero(self.ends[ids]) + 1
         other, n_other = self._whole([w for w, p in zip(words, plain.tolist(), strict=True) if not p])
         start, length = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
@@ -158,13 +168,14 @@ class Encoder:
         size = np.fromiter(map(len, self.place), dtype=np.int64, count=n)
         order = np.argsort(np.where(size > MAX_WORD_BYTES, -1, self.met[:n]), kind="stable")[-(MAX_WORDS // 2) :]
         order = np.sort(order[size[order] <= MAX_WORD_BYTES])
-        words = list(self.place)
+        words = [w for w, x in zip(self.place, np.isin(np.arange(n), order).tolist(), strict=True) if x]
+        self.place.clear()
         start, length = self.start[order], self.length[order]
         kept = gathered(self.ids, start, length)
         self.ids[: len(kept)], self.used = kept, len(kept)
         self.length[: len(order)], self.start[: len(order)] = length, np.cumsum(length) - length
         self.met[: len(order)] = self.met[order] // 2
-        self.place = {words[k]: i for i, k in enumerate(order.tolist())}
+        self.place = dict(zip(words, range(len(words)), strict=True))
 
     def _cut(self, word: bytes) -> tuple[bytes, bytes]:
         """A chunk in two that are encoded alike apart, or a whole one and nothing."""
@@ -181,7 +192,7 @@ class Encoder:
         code, distinct = np.asarray(chunks.indices), chunks.dictionary.cast(pa.binary()).to_pylist()
 
         def places(words: list[bytes]) -> np.ndarray:
-            return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+            return np.fromiter(map(self.place.get, words, itertools.repeat(-1)), dtype=np.int64, count=len(words))
 
         at = places(distinct)
         if (at < 0).any():
