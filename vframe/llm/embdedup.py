@@ -168,14 +168,13 @@ def find_duplicates(data: DataFrame, threshold: float = 0.95, miss: float = 1e-4
     spark = data.sparkSession
     scratch = scratch or Scratch(spark)
     rows = vectors.read(data).select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(seed), "embedding").alias("h2"))
-    # a class has the same 128 bits of hash; its least id stands for it
-    classes = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    placed = rows.join(classes, ["h1", "h2"])
-    placed = placed.select("vec_id", "rep", "copies", F.when(F.col("vec_id") == F.col("rep"), F.col("embedding")).alias("embedding"), "h1", "h2")
-    placed = scratch.table(placed, "placed")
-    members = placed.select("vec_id", "rep", "copies").distinct()
-    stands = placed.filter(F.col("embedding").isNotNull()).groupBy("rep", "h1", "h2").agg(F.first("copies").alias("copies"), F.first("embedding").alias("embedding"))
-    bits, tables = plan(placed.count(), threshold, miss)
+    # a class has the same 128 bits of hash; its least id stands for it, and only that row's vector goes on
+    keys = scratch.table(rows.drop("embedding"), "keys")
+    classes = scratch.table(keys.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    members = scratch.table(keys.join(classes, ["h1", "h2"]).select("vec_id", "rep", "copies").distinct(), "members")
+    stands = rows.join(classes.withColumn("vec_id", F.col("rep")), ["vec_id", "h1", "h2"])
+    stands = stands.groupBy("rep", "h1", "h2").agg(F.first("copies").alias("copies"), F.first("embedding").alias("embedding"))
+    bits, tables = plan(keys.count(), threshold, miss)
     hashed = stands.select("rep", "copies", "embedding").mapInArrow(
         _hash(bits, tables, seed), "rep bigint, copies bigint, width int, vector binary, signs binary, cells array<int>"
     )
@@ -196,7 +195,7 @@ def find_duplicates(data: DataFrame, threshold: float = 0.95, miss: float = 1e-4
     near = near.repartition(parts(spark), *key).sortWithinPartitions(*key)
     found = near.mapInArrow(_compare(threshold, bits, tables), "rep bigint, links bigint, least bigint")
     found = scratch.table(found, "links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = scratch.table(found.groupBy("rep").agg(F.sum("links").alias("links")), "sums")
     joined = scratch.table(components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")), scratch), "components")
     known = members.join(links, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
     known = known.select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("c"))
