@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vframe.errors import BackendError
 from vframe.functions import codecs
 from vframe.functions.types import NdArray
 from vframe.operators import arrays, graph, policy
 from vframe.plans import nested
 from vframe.plans.migration import Context, Migration, migration
-from vframe.plans.record import RecordType, fingerprint
+from vframe.plans.record import RecordType, fingerprint, registered
 from vframe.sources import envelope as env
-from vframe.sources import formats
+from vframe.sources import formats, text
 from vframe.sources.scratch import folder
 from vframe.streaming.session import Session, append_stream, last_values
 
@@ -753,6 +754,83 @@ def preload_names(spark, d):
     return spark.createDataFrame([(n, ",".join(formats.load(spark, r, path, format="parquet", **o).columns)) for n, o in asked.items()], "name string, loaded string")
 
 
+class Percent:
+    """A type with the value protocol: it is stored as a share and written with its sign."""
+
+    stored = T.DoubleType()
+    to_value = staticmethod(lambda c: F.concat(F.round(c * 100, 2).cast("string"), F.lit("%")))
+    from_value = staticmethod(lambda v: F.rtrim(v.cast("string"), F.lit("%")).cast("double") / 100)
+
+
+@query("SELECT l_orderkey AS id, l_linenumber AS line, round(l_discount, 4) AS discount FROM lineitem")
+def value_protocol(spark, d):
+    wire = codecs.encode(F.col("l_discount"), Percent)
+    back = codecs.converter_for(Percent).decode(wire)
+    return _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.round(back, 4).alias("discount"))
+
+
+@query("SELECT r_regionkey AS id, r_name AS name, r_regionkey % 2 = 0 AS flag FROM region")
+def marked_json(spark, d):
+    """Values that a text format holds as marked JSON, of either mark, opened by the reader."""
+    inner = F.to_json(F.struct(F.col("r_name").alias("name"), (F.col("r_regionkey") % 2 == 0).alias("flag")))
+    mark = F.when(F.col("r_regionkey") % 2 == 0, F.lit(text.JSON_MARKS[0])).otherwise(F.lit(text.JSON_MARKS[1]))
+    quoted = F.replace(F.replace(inner, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    doc = F.concat(F.lit("---\nid: "), F.col("r_regionkey").cast("string"), F.lit("\nx:\n  "), mark, F.lit(': "'), quoted, F.lit('"\n'))
+    path = folder(spark, "yaml")
+    _t(spark, d, "region").select(doc.alias("value")).write.text(path)
+    r = _record(1, {"id": int, "x": _record(1, {"name": str, "flag": bool})})
+    return formats.load(spark, r, path, format="yaml").select(F.col("id").cast("int").alias("id"), "x.*")
+
+
+@query("SELECT cast(n_nationkey AS bigint) AS n_nationkey, n_name FROM nation")
+def data_source(spark, d):
+    """Documents through ``spark.read.format("vframe")``."""
+    from vframe.sources import datasource
+
+    r, path = _record(1, {"n_nationkey": int, "n_name": str}, name="Nation"), folder(spark, "source")
+    formats.save(r.migrate(_t(spark, d, "nation"), 1), r, path, format="yaml")
+    datasource.register(spark)
+    docs = spark.read.format("vframe").option("type", "yaml").load(path)
+    return r.load_variant(docs.select(F.parse_json("doc").alias("doc")))
+
+
+@query(
+    """SELECT * FROM (VALUES ('a.json', 'json'), ('b.JSONL', 'jsonl'), ('c.yml', 'yaml'), ('d.YAML', 'yaml'), ('e.toml', 'toml'), ('f.parquet/', 'parquet'), ('s3://x/y.z/g.yaml', 'yaml'),
+    ('h.txt as toml', 'toml'), ('i.h5', 'none'), ('j.csv', 'none'), ('k', 'none')) t(path, format)"""
+)
+def format_suffixes(spark, d):
+    """The format of a path by its suffix, or as told; none where there is no reader."""
+
+    def of(path: str) -> str:
+        place, _, told = path.partition(" as ")
+        try:
+            return formats.format_for(place, told or None).name
+        except BackendError:
+            return "none"
+
+    paths = ("a.json", "b.JSONL", "c.yml", "d.YAML", "e.toml", "f.parquet/", "s3://x/y.z/g.yaml", "h.txt as toml", "i.h5", "j.csv", "k")
+    return spark.createDataFrame([(p, of(p)) for p in paths], "path string, format string")
+
+
+@query(
+    """SELECT * FROM (VALUES ('name', 'Seen'), ('version', '3'), ('old names', 'Old,Older'), ('fields', 'id,at,data'), ('lazy', 'data'), ('first version', '1'), ('is a', 'true'),
+    ('is no', 'false'), ('registered', 'true'), ('steps from 1', '2'), ('ops', 'Rename,Add,RequiresUpgrade'), ('hash', '%s'), ('schema', 'id:bigint,at:timestamp_ntz,data:struct')) t(what, value)"""
+    % fingerprint({"id": int, "at": dt.datetime, "data": NdArray("float32")})
+)
+def introspection(spark, d):
+    """What a record type tells of itself."""
+    base = _record(1, {"id": int}, name="Base")
+    steps = {1: Migration().rename("key", "id").add("at", default=None).requires_upgrade(), 2: Migration()}
+    r = RecordType("Seen", 3, {"at": dt.datetime, "data": NdArray("float32")}, base=base, old_names=("Old", "Older"), migrations=steps)
+    meta = r.metadata()
+    found = {
+        "name": meta["name"], "version": meta["version"], "old names": ",".join(meta["old_names"]), "fields": ",".join(r.fields), "lazy": ",".join(r.arrays()), "first version": r.first_version(),
+        "is a": r.is_a(base), "is no": base.is_a(r), "registered": registered()["Older"] is r, "steps from 1": len(r.steps(1)), "ops": ",".join(type(o).__name__ for o in steps[1].ops), "hash": meta["hash"],
+        "schema": ",".join(f"{f.name}:{f.dataType.simpleString().split('<')[0]}" for f in r.struct().fields),
+    }
+    return spark.createDataFrame([(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in found.items()], "what string, value string")
+
+
 # sessions
 
 
