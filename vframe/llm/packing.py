@@ -218,7 +218,7 @@ def pack(
         (F.coalesce(F.col(within).cast("bigint"), F.lit(-1)) if within else F.lit(0).cast("bigint")).alias("within"),
     )
     dealt = rows.repartition(parts(spark), "within", F.pmod(key, F.lit(1 << 16))).sortWithinPartitions("within", key, "doc_id", "source")
-    with batch_rows(spark, 4096, 16 << 20):
+    with batch_rows(spark, 2048, 4 << 20):
         chunks = scratch.table(dealt.mapInArrow(_chunks(tokenizer, end_id, width), CHUNKS), "chunks")
     flat = chunks.select("shard", F.explode(F.arrays_zip("source", "n")).alias("x"))
     had = scratch.table(flat.groupBy("shard", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("n")), "had")

@@ -86,7 +86,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = ranged(rows, shards or parts(spark)).sortWithinPartitions("doc_id", "text")
-    with batch_rows(spark, 4096, 16 << 20):
+    with batch_rows(spark, 2048, 4 << 20):
         dealt.mapInArrow(_encode(tokenizer, end_id), SCHEMA).write.options(**WRITER).parquet(path)
 
 
