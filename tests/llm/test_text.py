@@ -1,5 +1,6 @@
 """Language, formatting, encoding, packing, mixing, personal data and secrets on small fixtures."""
 
+import functools
 import hashlib
 import re
 import zlib
@@ -37,8 +38,13 @@ def empty(df):
 # encoding
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(WORD_BPE)
+
+
 def ids_of(text):
-    return Tokenizer.from_file(WORD_BPE).encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def crc(ids):
