@@ -191,3 +191,13 @@ def test_pruned_arrays(spark, tmp_path):
     assert formats.load(spark, r, path, metadata_only=True).columns == ["name"]
     assert formats.load(spark, r, path, preload=[]).columns == ["name"]
     assert formats.load(spark, r, path).first()["data"]["data"] == [1.0, 2.0]
+
+
+def test_rows_of_one_scan_are_written_by_several_tasks(spark, tmp_path):
+    record = RecordType("Row", 1, {"k": int, "s": str}, register=False)
+    spark.range(0, 100_000, 1, 1).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("s")).write.parquet(f"{tmp_path}/rows")
+    for fmt in ("yaml", "toml"):
+        formats.save(spark.read.parquet(f"{tmp_path}/rows").coalesce(1), record, f"{tmp_path}/{fmt}", format=fmt)
+        assert len(list((tmp_path / fmt).glob("part-*"))) > 1
+        got = formats.load(spark, record, f"{tmp_path}/{fmt}", format=fmt)
+        assert got.agg(F.count("*"), F.countDistinct("k"), F.sum("k")).first() == (100_000, 100_000, 4_999_950_000)

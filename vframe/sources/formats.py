@@ -340,9 +340,12 @@ def save(
     if fmt.write is None:
         raise BackendError(f"format {fmt.name} cannot be written")
     defaults = {n: wire_default(v) for n, v in record.defaults.items()} if comment_defaults else {}
+    arrays, rendered = record.arrays(), fmt.name in ("yaml", "toml")
+    marks = bool(arrays) and (rendered if mark_arrays is None else mark_arrays)
+    if rendered or marks:  # a small file may hold many rows: Python takes them on all cores, whatever the scan's tasks
+        df = df.hint("rebalance")
     docs = df.select(document(record, rest=REST in df.columns).alias("value"))
-    arrays = record.arrays()
-    if arrays and (fmt.name in ("yaml", "toml") if mark_arrays is None else mark_arrays):
+    if marks:
 
         @F.pandas_udf(T.StringType())
         def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
