@@ -252,3 +252,27 @@ def test_rows_of_one_scan_are_written_by_several_tasks(spark, tmp_path):
         assert len(list((tmp_path / fmt).glob("part-*"))) > 1
         got = formats.load(spark, record, f"{tmp_path}/{fmt}", format=fmt)
         assert got.agg(F.count("*"), F.countDistinct("k"), F.sum("k")).first() == (100_000, 100_000, 4_999_950_000)
+
+
+@pytest.mark.parametrize("fmt", ["json", "yaml", "toml"])
+def test_arrays_are_opened_once(spark, tmp_path, fmt):
+    record = RecordType("Wave", 1, {"n": int, "a": NdArray("float64")}, register=False)
+    rows = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("n"), F.struct(F.lit("float64").alias("dtype"), F.array(F.lit(3)).alias("shape"), F.array(F.col("id") + 0.5, F.lit(float("nan")), F.lit(-2.0)).alias("data")).alias("a")
+    )
+    formats.save(rows, record, f"{tmp_path}/x", format=fmt, mark_arrays=True)
+    got = formats.load(spark, record, f"{tmp_path}/x", format=fmt)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    x = F.col("a.data")
+    assert got.filter((x[0] == F.col("n") + 0.5) & F.isnan(x[1]) & (x[2] == -2) & (F.col("a.shape")[0] == 3)).agg(F.count("*"), F.countDistinct("n")).first() == (3000, 3000)
+
+
+def test_pieces_hold_each_text_once():
+    import pandas as pd
+
+    n = formats.PIECE
+    for sizes in ([], [0], [n + 5], [1, n, 1, n - 1, 1, 2 * n, 0, 0, None, 3]):
+        texts = pd.Series([None if k is None else "x" * k for k in sizes], dtype=object)
+        found = list(formats._pieces(texts))
+        assert [v for p in found for v in p] == list(texts)
+        assert all(len(p) == 1 or sum(len(v or "") for v in p) <= n for p in found)

@@ -28,13 +28,18 @@ from vframe.sources import envelope as env
 from vframe.sources import text
 
 
+#: Letters of documents that a Python worker handles together.
+PIECE = 1 << 20
+
+
 @dataclass(frozen=True)
 class Format:
-    """``read`` gives rows of _path and doc (VARIANT); ``write`` takes JSON texts."""
+    """``read`` gives rows of _path and doc (VARIANT), with marked arrays opened where ``opens`` says so; ``write`` takes JSON texts."""
 
     name: str
     read: Callable[[SparkSession, str], DataFrame]
     write: Callable[[DataFrame, str, str, dict, str], None] | None = None
+    opens: bool = False
 
 
 _FORMATS: dict[str, Format] = {}
@@ -61,13 +66,23 @@ def _texts(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     return spark.read.text(path, recursiveFileLookup=True, **options).select(F.input_file_name().alias("_path"), "value")
 
 
+def _pieces(texts: pd.Series) -> Iterator[pd.Series]:
+    """A batch in pieces of a megabyte, or of one text, so that a worker holds no more results than those of a piece."""
+    size = texts.str.len().fillna(0).cumsum().to_numpy()
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(size.searchsorted((size[low - 1] if low else 0) + PIECE, side="right")))
+        yield texts.iloc[low:high]
+        low = high
+
+
 def _parsed(parse: Callable[[str], list[str]], between: str) -> Callable[[SparkSession, str], DataFrame]:
     """Reads files of documents with a line ``between`` them; large files are split there."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def documents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(parse)
+            yield from (x.map(parse) for x in _pieces(b))
 
     def read(spark: SparkSession, path: str) -> DataFrame:
         rows = _texts(spark, path, lineSep=f"\n{between}\n").select("_path", F.explode(documents("value")).alias("json"))
@@ -113,7 +128,8 @@ def _writer(emit: Callable[[dict, dict, str], str], between: str) -> Callable[[D
         @F.pandas_udf(T.StringType())
         def rendered(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for b in batches:
-                yield b.map(lambda x: between + "\n" + emit(json.loads(x), defaults, key))
+                for part in _pieces(b):
+                    yield part.map(lambda x: between + "\n" + emit(json.loads(x), defaults, key))
 
         docs.select(rendered("value").alias("value")).write.mode(mode).text(path)
 
@@ -123,8 +139,8 @@ def _writer(emit: Callable[[dict, dict, str], str], between: str) -> Callable[[D
 register_format(["json"], Format("json", _read_json, _write_json))
 register_format(["jsonl"], Format("jsonl", _read_lines, _write_json))
 register_format(["json-file"], Format("json-file", _read_files))
-register_format(["yaml", "yml"], Format("yaml", _parsed(text.from_yaml, "---"), _writer(text.to_yaml, "---")))
-register_format(["toml"], Format("toml", _parsed(text.from_toml, text.TOML_BREAK), _writer(text.to_toml, text.TOML_BREAK)))
+register_format(["yaml", "yml"], Format("yaml", _parsed(text.from_yaml, "---"), _writer(text.to_yaml, "---"), opens=True))
+register_format(["toml"], Format("toml", _parsed(text.from_toml, text.TOML_BREAK), _writer(text.to_toml, text.TOML_BREAK), opens=True))
 register_format(["parquet"], Format("parquet", lambda spark, path: spark.read.option("mergeSchema", "true").parquet(path)))
 
 
@@ -137,8 +153,12 @@ def _has_arrays(tp: Any) -> bool:
 
 
 @F.pandas_udf(T.StringType())
-def _opened(docs: pd.Series) -> pd.Series:
-    return docs.map(text.opened, na_action="ignore")
+def _opened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for b in batches:
+        yield from (x.map(text.opened, na_action="ignore") for x in _pieces(b))
+
+
+_opened = _opened.asNondeterministic()  # or the check of a row's version, which reads the document, would open it once more
 
 
 def open_arrays(docs: DataFrame) -> DataFrame:
@@ -230,7 +250,7 @@ def load(
         out = record.migrate(df, "_v" if mixed else None, assume=assume, upgrade=upgrade, sparse=mixed, names=names)
     else:
         docs = fmt.read(spark, path)
-        if any(map(_has_arrays, record.fields.values())):
+        if not fmt.opens and any(map(_has_arrays, record.fields.values())):
             docs = open_arrays(docs)
         if strict:
             docs = docs.filter(env.read(F.col("doc"), "object", record.envelope_key).isin(record.record_name, *record.old_names))
@@ -350,7 +370,8 @@ def save(
         @F.pandas_udf(T.StringType())
         def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for b in batches:
-                yield b.map(lambda x: text.marked(x, arrays))
+                for part in _pieces(b):
+                    yield part.map(lambda x: text.marked(x, arrays))
 
         docs = docs.select(marked("value").alias("value"))
     fmt.write(docs, path, mode, defaults, record.envelope_key)
